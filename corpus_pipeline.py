@@ -1,16 +1,67 @@
-"""The corpus pipeline: each stage is one operator of drawwell.llm at work on what its predecessor kept."""
+"""The corpus pipeline: each stage is one operator of drawwell.llm at work on what its predecessor kept.
+
+Every stage but the last returns the columns of documents. Toxicity drops what it predicts as toxic; near-dedup keeps one
+document of each group; decontamination drops documents that hold a benchmark window; the secret scan keeps all documents
+and replaces each secret by [secret], with n_chars counted anew; mixing gives what the mix takes of each document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from drawwell.llm.common import stored, table
+from drawwell.llm.decontaminate import contamination
+from drawwell.llm.mixing import mix_sources
+from drawwell.llm.secret_scan import redact_secrets
+from drawwell.llm.simhash import one_of_each
+from drawwell.llm.toxicity import fold_model
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = fold_model(spark, docs, sf_dir)
+    scored = docs.withColumn("__score", model.score(spark, F.col("text")))
+    return scored.where("__score < 0.5").drop("__score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    found = contamination(named, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    bad = stored(found.where("contaminated").select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).distinct(), "contaminated")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tie")), "left_anti")
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = docs.withColumn("__clean", redact_secrets("text"))
+    changed = ~F.col("text").eqNullSafe(F.col("__clean"))
+    counted = F.when(changed, F.char_length("__clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    renewed = {"text": F.col("__clean").alias("text"), "n_chars": counted}
+    return clean.select(*(renewed.get(c, F.col(f"`{c}`")) for c in docs.columns))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix_sources(docs.select("doc_id", "text", "source")).documents.drop("source")
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("secret_scan", redact),
+    ("mixing", mix),
+]
 
+#: Hashes of shingles, fitted weights and pseudorandom draws have no SQL; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over documents, each one's rows written to the shared folder and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -106,7 +106,7 @@ _PLACE = pa.struct([("h", pa.int64()), ("width", pa.int32()), ("at", pa.int32())
 
 
 def find_places(docs: DataFrame, cells: np.ndarray, widths: list[int], window: int = WINDOW) -> DataFrame:
-    """doc_id, row, n_words and the places of possible shingles of every row of docs (doc_id, text)."""
+    """The columns of docs but text, row, n_words and the places of possible shingles of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(cells)
 
     @F.arrow_udf("struct<n_words:long,places:array<struct<h:long,width:int,at:int,first:int,words:array<string>>>>")
@@ -129,13 +129,14 @@ def find_places(docs: DataFrame, cells: np.ndarray, widths: list[int], window: i
             places.append(own)
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(places, pa.list_(_PLACE))], ["n_words", "places"])
 
-    out = docs.select("doc_id", found("text").alias("found")).select("doc_id", "found.n_words", "found.places")
+    kept = [c for c in docs.columns if c != "text"]
+    out = docs.select(*kept, found("text").alias("found")).select(*kept, "found.n_words", "found.places")
     # the id is written with the row, so it stays the same however often the table is read
     return stored(out.withColumn("row", F.monotonically_increasing_id()), "bench-places")
 
 
 def window_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(row, doc_id, n_words) of all docs, the hits (row, wid, start, size), and (wid, item)."""
+    """(row, n_words, the columns of docs but text) of all docs, the hits (row, wid, start, size), and (wid, item)."""
     windows, members = benchmark_windows(items, window, shingle)
     windows = stored(windows, "bench-sets")
     rows = find_places(docs, *shingle_filter(windows), window)
@@ -155,11 +156,11 @@ def window_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle
     inside = (start >= F.col("first")) & (start + size <= F.col("n_words"))
     same = F.slice("words", F.greatest(start - F.col("first") + 1, F.lit(1)), size) == F.col("set")
     hits = joined.where(inside & same).select("row", "wid", start.cast("long").alias("start"), size.cast("long").alias("size"))
-    return rows.select("row", "doc_id", "n_words"), stored(hits, "bench-hits"), members
+    return rows.drop("places"), stored(hits, "bench-hits"), members
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """row, doc_id, n_words, n_hit, n_items, items (a sorted array) and contaminated, for every row of docs."""
+    """n_words, n_hit, n_items, items (a sorted array), contaminated and the columns of docs but text, for every row."""
     rows, hits, members = window_hits(docs, items)
     spans = hits.groupBy("row", "start").agg(F.max(F.col("start") + F.col("size")).alias("end"))
     before = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
@@ -169,7 +170,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = held.groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items")).join(words, "row")
     joined = rows.join(found, "row", "left")
     return joined.select(
-        "row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        *(c for c in docs.columns if c != "text"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.col("n_hit").isNotNull().alias("contaminated"),

@@ -9,9 +9,24 @@ from drawwell.llm.mixing import op3_mix_sources
 from drawwell.llm.quality_rules import op4_quality_rules
 from drawwell.llm.secret_scan import op1_secret_scan
 from drawwell.llm.simhash import op2_simhash
+from drawwell.llm.suffix_dedup import op9_suffix_dedup
 from drawwell.llm.token_count import op10_token_counts
 from drawwell.llm.toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_mix_sources, op4_quality_rules, op5_toxicity, op6_language_id, op7_decontaminate, op8_lm_score, op10_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan,
+        op2_simhash,
+        op3_mix_sources,
+        op4_quality_rules,
+        op5_toxicity,
+        op6_language_id,
+        op7_decontaminate,
+        op8_lm_score,
+        op9_suffix_dedup,
+        op10_token_counts,
+    )
+}
 
 ORACLES: dict[str, str] = {}
