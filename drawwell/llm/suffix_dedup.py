@@ -9,11 +9,13 @@ as soon as their rank is unique; a rank is the fingerprint of the bytes it stand
 2. First round: Spark groups anchors by rank. A unique rank ends all windows of its run. Runs with the same bytes
    throughout are one class, and one member stands for it in the next round.
 3. Second round: the windows left, at all their positions, are ranked by the pair (rank at s, rank at s + T/2), sorted by
-   Spark, and equal neighbours are repeated strings. Whole runs with equal bytes are settled in the same sort.
+   Spark, and equal neighbours are repeated strings. Whole runs with equal bytes are settled in the same sort. Equal
+   windows have equal anchors, so the sort goes by anchor and part of a run first, which keeps neighbouring positions
+   of a document together: they leave it as one range.
 4. Covered ranges are merged by document, and what remains of each text is hashed.
 
 Between rounds only Bloom filters are broadcast; they never exceed MAX_FILTER_BITS, and a false positive only sends rows
-on that the sort then drops. Ranks carry 96 bits in the last sort. Documents are named by a 64-bit hash of doc_id and
+on that the sort then drops. Ranks carry 128 bits in the last sort. Documents are named by a 64-bit hash of doc_id and
 text. No group is collected: the sorts stream through their rows.
 
 Defined cases: a null text counts as empty; texts shorter than T are never touched; rows repeated in full are copies of
@@ -87,7 +89,7 @@ class Runs:
         anchor = (sliding_least((ranks & ~low) | at.astype(np.uint64), threshold - half + 1) & low).astype(np.int64)
         self.first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
         self.last = np.append(self.first[1:] - 1, len(anchor) - 1)
-        place = anchor[self.first]
+        self.place = place = anchor[self.first]
         self.anchor, self.ranks = ranks[place], ranks
         shape = (place - self.first).astype(np.uint64) << np.uint64(32) | (self.last - self.first).astype(np.uint64)
         self.whole = hasher.between(self.sums, self.first, self.last + threshold) ^ _mix(shape + np.uint64(1))
@@ -169,12 +171,12 @@ def _second_round(shared, threshold: int):
     half = threshold // 2
 
     def ranked(batches):
-        cells, hasher, salt = shared.value, Hasher(threshold), np.uint64(5)
-        names = ["h", "g", "key", "start", "size"]
+        cells, hasher = shared.value, Hasher(threshold)
+        names = ["unit", "h", "key", "start", "size"]
 
         def made(held):
-            high, low, key, start, size = (np.concatenate(c) for c in zip(*held, strict=True))
-            arrays = [_signed(high), pa.array(low.astype(np.uint32).view(np.int32)), pa.array(key), pa.array(start), pa.array(size.astype(np.int32))]
+            unit, h, key, start, size = (np.concatenate(c) for c in zip(*held, strict=True))
+            arrays = [_signed(unit), _signed(h), pa.array(key), pa.array(start), pa.array(size.astype(np.int32))]
             return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
@@ -187,14 +189,15 @@ def _second_round(shared, threshold: int):
                         continue
                     anchor, whole, first, last = runs.anchor[again], runs.whole[again], runs.first[again], runs.last[again]
                     keys = np.full(len(again), key, np.int64)
-                    # the run as a whole: salted, so that it never equals a window
-                    held.append((_mix(anchor ^ _mix(whole + salt)), _mix(whole ^ salt) >> np.uint64(32), keys, offset + first, last - first + threshold))
+                    held.append((_unit(anchor), whole, keys, offset + first, last - first + threshold))
                     stands = _held(cells, _entries(anchor, whole, keys.view(np.uint64)))
                     first, length = first[stands], (last - first + 1)[stands]
                     if total := int(length.sum()):
                         s = np.repeat(first - np.cumsum(length) + length, length) + np.arange(total)
-                        a, b = runs.ranks[s], runs.ranks[s + half]
-                        held.append((_mix(a ^ _mix(b)), _mix(b + a * _MIX) >> np.uint64(32), np.full(total, key, np.int64), offset + s, np.full(total, threshold, np.int64)))
+                        before = np.repeat(runs.place[again][stands], length) - s  # equal windows have their anchor at one place
+                        unit = _unit(np.repeat(anchor[stands], length), 1 + (before >> 4))
+                        pair = _mix(runs.ranks[s] ^ _mix(runs.ranks[s + half]))
+                        held.append((unit, pair, np.full(total, key, np.int64), offset + s, np.full(total, threshold, np.int64)))
                     rows += len(again) + total
                 if rows >= _OUT:
                     yield made(held)
@@ -205,23 +208,41 @@ def _second_round(shared, threshold: int):
     return ranked
 
 
+def _unit(anchor: np.ndarray, part: np.ndarray | int = 0) -> np.ndarray:
+    """What the last sort goes by first: an anchor and a part of its run, the whole run being part 0."""
+    return _mix(anchor + np.uint64(7) * (np.asarray(part).astype(np.uint64) + np.uint64(1)))
+
+
+def _merged(key: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """The same ranges with those of one document that touch put together."""
+    order = np.lexsort((start, key))
+    key, start, end = key[order], start[order], (start + size)[order]
+    if len(key):
+        # no end reaches into the next document once documents are a long way apart
+        document = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+        apart = document * (int(end.max()) + 1)
+        reach = np.maximum.accumulate(end + apart)
+        opens = np.flatnonzero(np.concatenate(([True], (start + apart)[1:] > reach[:-1])))
+        key, start, end = key[opens], start[opens], np.append(reach[opens[1:] - 1], reach[-1]) - apart[opens]
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(start), pa.array((end - start).astype(np.int64))], ["key", "start", "size"])
+
+
 def _repeated(batches):
-    """Rows (h, g, key, start, size) whose rank (h, g) their neighbour in the sorted order has too."""
+    """Ranges of the rows (unit, h, key, start, size) whose rank (unit, h) their neighbour in the sorted order has too."""
     kept = None
     for batch in batches:
         whole = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
         if not whole.num_rows:
             continue
-        h, g = whole.column("h").to_numpy(), whole.column("g").to_numpy()
-        same = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
+        unit, h, key, start, size = (c.to_numpy() for c in whole.columns)
+        same = (unit[1:] == unit[:-1]) & (h[1:] == h[:-1])
         before, after = np.concatenate(([False], same)), np.concatenate((same, [False]))
-        # the last row waits for the next batch; the one before it comes along if they are equal, and is not given twice
+        # the last row waits for the next batch; the one before it comes along if they are equal: neither is given twice
         ready = before | after
         carried = 2 if len(same) and same[-1] else 1
         if kept is not None and kept.num_rows == 2:
             ready[:2] = False
-        ready[-1] = bool(before[-1])
-        yield from whole.filter(pa.array(ready)).select(["key", "start", "size"]).to_batches()
+        yield _merged(key[ready], start[ready], size[ready])
         kept = whole.slice(whole.num_rows - carried)
 
 
@@ -243,9 +264,9 @@ def repeated_ranges(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         return both((_entries(anchor), _entries(anchor[mixed], whole[mixed], key[mixed])))
 
     shared = spark.sparkContext.broadcast(_filter(again, entries, n + several.count()))
-    items = docs.mapInArrow(_second_round(shared, threshold), "h long, g int, key long, start long, size int")
-    items = items.repartition("h", "g").sortWithinPartitions("h", "g")
-    return items.mapInArrow(_repeated, "key long, start long, size int")
+    items = docs.mapInArrow(_second_round(shared, threshold), "unit long, h long, key long, start long, size int")
+    items = items.repartition("unit").sortWithinPartitions("unit", "h")
+    return items.mapInArrow(_repeated, "key long, start long, size long")
 
 
 def removed_spans(ranges: DataFrame) -> DataFrame:
