@@ -1,0 +1 @@
+"""The continuous stream of draws, cut into windows."""
