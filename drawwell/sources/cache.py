@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
         raise InvalidInput(f"missing manifest: {path}")
     try:
         manifest = json.loads(store.read(_path(path, "manifest.json")))
-    except ValueError as e:
+    except (ValueError, Py4JJavaError) as e:  # the store may see by its own checksum that the file was changed
         raise InvalidInput(f"corrupt manifest: {path}") from e
     if manifest.get("version") != VERSION:
         raise InvalidInput(f"unsupported format version {manifest.get('version')}")
