@@ -19,6 +19,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from drawwell.llm.common import table
 
@@ -156,10 +157,11 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
+_SPAN_TYPE = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-@F.arrow_udf("array<struct<kind:string,start:bigint,end:bigint>>")
+@F.arrow_udf(_SPAN_TYPE)
 def _secrets(texts: pa.Array) -> pa.Array:
     return pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in find_secrets(t.as_py())] for t in texts], SPANS)
 
@@ -181,7 +183,7 @@ def _redacted(text: str | None) -> str | None:
     return "".join([*out, text[at:]])
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def redact_secrets(texts: pa.Array) -> pa.Array:
     """The text with each maximal run of secrets replaced by [secret]; null stays null."""
     return pa.array([_redacted(t.as_py()) for t in texts], pa.string())

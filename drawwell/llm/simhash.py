@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from drawwell.llm.common import stored, table
 from drawwell.llm.components import connected_components
@@ -52,7 +53,7 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def simhash(texts: pa.Array) -> pa.Array:
     """Fingerprints as longs of the same bits."""
     return pa.array(np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64))

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from drawwell.llm.common import stored, table
 
@@ -280,7 +281,7 @@ def removed_spans(ranges: DataFrame) -> DataFrame:
     return spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def without_spans(texts: pa.Array, spans: pa.Array) -> pa.Array:
     """The bytes of a text outside its spans."""
     out = []

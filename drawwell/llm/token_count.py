@@ -75,7 +75,9 @@ class PieceCounter:
             if next_end <= end:  # an earlier widening already covers this chunk
                 continue
             theirs, reach = self._starts(next_start, next_ids), self.overlap
-            while (cut := self._cut(data, own[base + 1 :], theirs[1:])) < 0 and end < next_end:
+            # the space added before a chunk is no non-space: the chunk itself must hold what stands before the cut
+            inner = theirs[theirs > next_start]
+            while (cut := self._cut(data, own[base + 1 :], inner)) < 0 and end < next_end:
                 reach *= 2
                 end = min(next_end, end + reach)
                 while end < next_end and data[end] & 0xC0 == 0x80:
