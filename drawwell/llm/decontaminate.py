@@ -102,32 +102,39 @@ def shingle_filter(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
     return cells.view(np.uint64), [r["width"] for r in widths]
 
 
-_PLACE = pa.struct([("h", pa.int64()), ("width", pa.int32()), ("at", pa.int32()), ("first", pa.int32()), ("words", pa.list_(pa.string()))])
-
-
 def find_places(docs: DataFrame, cells: np.ndarray, widths: list[int], window: int = WINDOW) -> DataFrame:
-    """The columns of docs but text, row, n_words and the places of possible shingles of every row."""
+    """The columns of docs but text, row, n_words and the places of possible shingles of every row; the words around a
+    place are one string, apart by spaces, which no word holds."""
     shared = docs.sparkSession.sparkContext.broadcast(cells)
+    names = ["h", "width", "at", "first", "words"]
 
-    @F.arrow_udf("struct<n_words:long,places:array<struct<h:long,width:int,at:int,first:int,words:array<string>>>>")
+    @F.arrow_udf("struct<n_words:long,places:array<struct<h:long,width:int,at:int,first:int,words:string>>>")
     def found(texts: pa.Array) -> pa.Array:
         cells = shared.value
         shift = np.uint64(64 - ((len(cells) * 64).bit_length() - 1))
-        counts, places = [], []
+        counts, ends, near = [], [0], []
+        # numbers stay in arrays and words in one string a place: lists of Python objects took hundreds of MB a batch
+        hs, wide, ats, firsts = ([np.zeros(0, kind)] for kind in (np.int64, np.int32, np.int32, np.int32))
         for text in texts:
             words = item_words(text.as_py())
-            hashes, own = word_hashes(words), []
+            hashes = word_hashes(words)
             for width in widths:
                 h = shingle_hashes(hashes, width)
                 bit = h >> shift
-                hits = np.flatnonzero((cells[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
-                for at, x in zip(hits.tolist(), h[hits].view(np.int64).tolist(), strict=True):
-                    first = max(0, at - (window - width))
-                    near = [w.decode() for w in words[first : at + window]]
-                    own.append({"h": x, "width": width, "at": at, "first": first, "words": near})
+                at = np.flatnonzero((cells[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
+                if not len(at):
+                    continue
+                first = np.maximum(0, at - (window - width))
+                hs.append(h[at].view(np.int64))
+                wide.append(np.full(len(at), width, np.int32))
+                ats.append(at.astype(np.int32))
+                firsts.append(first.astype(np.int32))
+                near += [b" ".join(words[i : j + window]) for i, j in zip(first.tolist(), at.tolist(), strict=True)]
             counts.append(len(words))
-            places.append(own)
-        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(places, pa.list_(_PLACE))], ["n_words", "places"])
+            ends.append(len(near))
+        numbers = [pa.array(np.concatenate(x)) for x in (hs, wide, ats, firsts)]
+        places = pa.StructArray.from_arrays([*numbers, pa.array(near, pa.binary()).cast(pa.string())], names)
+        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places)], ["n_words", "places"])
 
     kept = [c for c in docs.columns if c != "text"]
     out = docs.select(*kept, found("text").alias("found")).select(*kept, "found.n_words", "found.places")
@@ -154,7 +161,7 @@ def window_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle
     joined = places.join(prefixes, ["h", "width"])
     size, start = F.size("set"), F.col("at") - F.col("offset")
     inside = (start >= F.col("first")) & (start + size <= F.col("n_words"))
-    same = F.slice("words", F.greatest(start - F.col("first") + 1, F.lit(1)), size) == F.col("set")
+    same = F.slice(F.split("words", " "), F.greatest(start - F.col("first") + 1, F.lit(1)), size) == F.col("set")
     hits = joined.where(inside & same).select("row", "wid", start.cast("long").alias("start"), size.cast("long").alias("size"))
     return rows.drop("places"), stored(hits, "bench-hits"), members
 
