@@ -29,4 +29,24 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+#: Every run of up to ten document words against every window of the items, by equality of the words.
+ORACLES: dict[str, str] = {
+    "op7_decontaminate": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, row_number() OVER () AS i, {_WORDS} AS w FROM benchmark),
+item_runs AS (
+    SELECT item, least(10, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda a: array_to_string(w[a:a + least(10, len(w)) - 1], ' '))) AS k
+    FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, k FROM item_runs),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM docs),
+runs AS (SELECT r, p, list(word) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS l FROM words),
+sized AS (SELECT r, p, n, array_to_string(l[1:n], ' ') AS k FROM runs JOIN (SELECT DISTINCT n FROM windows) AS s ON len(l) >= n),
+hits AS (SELECT r, p, n, item FROM sized JOIN windows USING (n, k)),
+hit_words AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM hits) GROUP BY r),
+held AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hit_words USING (r) LEFT JOIN held USING (r)"""
+}
