@@ -31,7 +31,21 @@ QUERIES = {
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
-#: Every run of up to ten document words against every window of the items, by equality of the words.
+
+
+def _doubled(width: int) -> str:
+    """Classes of equal strings of `width` bytes (256 at most) at every byte, from classes at doubling lengths."""
+    steps, at, k = [], "bytes", 1
+    while k < width:
+        gap = min(k, width - k)
+        steps.append(f"pairs{k} AS (SELECT g, r, p, c, lead(c, {gap}) OVER (PARTITION BY r ORDER BY p) AS d FROM {at})")
+        steps.append(f"same{k} AS (SELECT g, r, p, min(g) OVER (PARTITION BY c, d) AS c FROM pairs{k})")
+        at, k = f"same{k}", k + gap
+    return ",\n".join(steps) + f",\nstrings AS (SELECT * FROM {at})"
+
+
+#: op7: every run of up to ten document words against every window of the items, by equality of the words. op9: classes
+#: of equal 200-byte strings, without hashes.
 ORACLES: dict[str, str] = {
     "op7_decontaminate": f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
@@ -48,5 +62,22 @@ hit_words AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(
 held AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
     sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM docs LEFT JOIN hit_words USING (r) LEFT JOIN held USING (r)"""
+FROM docs LEFT JOIN hit_words USING (r) LEFT JOIN held USING (r)""",
+    "op9_suffix_dedup": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) AS n, regexp_extract_all(hex(coalesce(text, '')), '..') AS b FROM documents),
+each AS (SELECT r, n, unnest(range(1, n + 1)) AS p, unnest(b) AS byte FROM docs),
+bytes AS (SELECT row_number() OVER () AS g, r, p, CAST('0x' || byte AS BIGINT) AS c FROM each),
+{_doubled(200)},
+whole AS (SELECT r, p, c FROM strings JOIN docs USING (r) WHERE p + 199 <= n),
+starts AS (SELECT r, p, count(*) OVER (PARTITION BY c) > 1 AS twice FROM whole),
+marked AS (
+    SELECT r, p, byte, coalesce(max(CAST(twice AS INT)) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), 0) AS gone
+    FROM each LEFT JOIN starts USING (r, p)),
+edges AS (SELECT *, gone = 1 AND lag(gone, 1, 0) OVER (PARTITION BY r ORDER BY p) = 0 AS opens FROM marked),
+sums AS (
+    SELECT r, sum(gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (gone = 0) AS kept
+    FROM edges GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM docs LEFT JOIN sums USING (r)""",
 }

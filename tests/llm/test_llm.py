@@ -169,18 +169,19 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontaminate.contamination(docs.select("doc_id", "text"), bench.where("1 = 0")).where("contaminated").count() == 0
 
 
-def test_decontamination_sql(spark, docs, rows, tmp_path):
+@pytest.mark.parametrize("name", ["op7_decontaminate", "op9_suffix_dedup"])
+def test_sql(spark, docs, rows, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
-    from drawwell.llm.queries import ORACLES
+    from drawwell.llm.queries import ORACLES, QUERIES
 
     items = [(1, rows[14][1]), (2, "one"), (3, None), (4, "!!"), (5, rows[4][1][:300]), (6, "AB ab-ab")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
-    for name in ("benchmark", "documents"):
-        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
-    want = con.sql(ORACLES["op7_decontaminate"])
-    got = decontaminate.op7_decontaminate(spark, str(tmp_path))
+    for t in ("benchmark", "documents"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(ORACLES[name])
+    got = QUERIES[name](spark, str(tmp_path))
     assert got.columns == want.columns
     assert sorted(str(tuple(r)) for r in got.collect()) == sorted(map(str, want.fetchall()))
 
