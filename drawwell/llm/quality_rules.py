@@ -209,5 +209,6 @@ def judge_quality(docs: DataFrame) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every whole document."""
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
-    return judge_quality(table(spark, sf_dir, "documents")).select(names)
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    distances = [F.round(c, 6).alias(c) for c in ("class_distance", "word_distance")]
+    return judge_quality(table(spark, sf_dir, "documents")).select(*names, *distances)

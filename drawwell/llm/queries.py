@@ -6,6 +6,7 @@ from drawwell.llm.decontaminate import op7_decontaminate
 from drawwell.llm.language_id import op6_language_id
 from drawwell.llm.lm_score import op8_lm_score
 from drawwell.llm.mixing import op3_mix_sources
+from drawwell.llm import quality_rules as Q
 from drawwell.llm.quality_rules import op4_quality_rules
 from drawwell.llm.secret_scan import op1_secret_scan
 from drawwell.llm.simhash import op2_simhash
@@ -32,6 +33,60 @@ QUERIES = {
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 
+def _divergence(p: str, q: str) -> str:
+    """What one bin adds to twice the Jensen-Shannon divergence of p and q."""
+    return " + ".join(f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({p} + {q})) ELSE 0 END" for x in (p, q))
+
+
+def _count(pattern: str) -> str:
+    return "len(regexp_extract_all(t, '" + pattern.replace("'", "''") + "'))"
+
+
+_COMMON = ", ".join(f"'{w}'" for w in sorted(set(Q.COMMON_WORDS)))
+_CLASSES = ", ".join(map(_count, Q.CHAR_CLASSES))
+
+_QUALITY = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM docs),
+grams AS (SELECT r, p, x, lead(x, 1) OVER a AS y, lead(x, 2) OVER a AS z FROM words WINDOW a AS (PARTITION BY r ORDER BY p)),
+twice AS (SELECT r, p, count(*) OVER (PARTITION BY r, x, y, z) AS n FROM grams WHERE z IS NOT NULL),
+repeats AS (SELECT r, count(DISTINCT q) AS n_repeat FROM (SELECT r, unnest(range(p, p + 3)) AS q FROM twice WHERE n > 1) GROUP BY r),
+lines AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM docs),
+sizes AS (SELECT r, len(w) AS n_words, length(t) AS n_chars, length(array_to_string(w, '')) AS inside, [{_CLASSES}] AS c FROM docs),
+bins AS (SELECT r, unnest(range(1, {Q.N_CLASSES + 1})) AS i, unnest(list_concat([n_chars - inside], list_concat(c, [inside - CAST(list_sum(c) AS BIGINT)]))) AS n FROM sizes),
+found AS (SELECT r, unnest(regexp_extract_all(lower(t), '\p{{L}}+')) AS k FROM docs),
+common AS (SELECT r, k, count(*) AS n FROM found WHERE k IN ({_COMMON}) GROUP BY r, k),
+refs AS (SELECT lang AS ref FROM docs JOIN sizes USING (r) WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n_words) >= {Q.MIN_REFERENCE_WORDS}),
+owners AS (SELECT r, coalesce('=' || ref, 'pool') AS ref FROM docs LEFT JOIN refs ON lang = ref),
+members AS (SELECT r, ref FROM owners WHERE ref <> 'pool' UNION ALL SELECT r, 'pool' FROM docs),
+ref_sizes AS (SELECT ref, CAST(sum(n_words) AS DOUBLE) AS ref_n, CAST(sum(n_chars) AS DOUBLE) AS ref_chars FROM members JOIN sizes USING (r) GROUP BY ref),
+ref_bins AS (SELECT ref, i, CAST(sum(n) AS DOUBLE) AS m FROM members JOIN bins USING (r) GROUP BY ref, i),
+ref_words AS (SELECT ref, k, CAST(sum(n) AS DOUBLE) AS m FROM members JOIN common USING (r) GROUP BY ref, k),
+shares AS (
+    SELECT r, n / nullif(CAST(n_chars AS DOUBLE), 0) AS a, m / nullif(ref_chars, 0) AS b
+    FROM bins JOIN sizes USING (r) JOIN owners USING (r) JOIN ref_sizes USING (ref) JOIN ref_bins USING (ref, i)),
+class_parts AS (SELECT r, sum({_divergence('a', 'b')}) AS d FROM shares GROUP BY r),
+known AS (SELECT ref, ref_n, coalesce(sum(m), 0) / nullif(ref_n, 0) AS known FROM ref_sizes LEFT JOIN ref_words USING (ref) GROUP BY ref, ref_n),
+word_shares AS (
+    SELECT r, CAST(n AS DOUBLE) / n_words AS a, m / ref_n AS b
+    FROM common JOIN sizes USING (r) JOIN owners USING (r) JOIN known USING (ref) JOIN ref_words USING (ref, k) WHERE n_words >= {Q.MIN_WORDS}),
+word_sums AS (SELECT r, sum({_divergence('a', 'b')}) AS d, sum(a) AS a, sum(b) AS b FROM word_shares GROUP BY r),
+others AS (
+    SELECT r, coalesce(d, 0) AS d, known - coalesce(b, 0) AS missing, greatest(1 - coalesce(a, 0), 0) AS a, greatest(1 - known, 0) AS b
+    FROM sizes JOIN owners USING (r) JOIN known USING (ref) LEFT JOIN word_sums USING (r)),
+distances AS (
+    SELECT r, CASE WHEN n_chars >= {Q.MIN_CHARS} THEN sqrt(greatest(coalesce(p.d, 0) / 2, 0)) ELSE 0 END AS class_distance,
+        CASE WHEN n_words >= {Q.MIN_WORDS} THEN sqrt(greatest((o.d + missing + {_divergence('a', 'b')}) / 2, 0)) ELSE 0 END AS word_distance
+    FROM sizes JOIN class_parts AS p USING (r) JOIN others AS o USING (r)),
+measured AS (
+    SELECT r, doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(inside AS BIGINT) AS word_chars, CAST({_count('[#*$%&|<>]')} AS BIGINT) AS n_symbols,
+        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words
+    FROM docs JOIN sizes USING (r) JOIN lines USING (r) LEFT JOIN repeats USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND class_distance <= {Q.MAX_CLASS_DISTANCE} AND word_distance <= {Q.MAX_WORD_DISTANCE} AS kept,
+    round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance
+FROM measured JOIN distances USING (r)"""
+
 
 def _doubled(width: int) -> str:
     """Classes of equal strings of `width` bytes (256 at most) at every byte, from classes at doubling lengths."""
@@ -44,9 +99,10 @@ def _doubled(width: int) -> str:
     return ",\n".join(steps) + f",\nstrings AS (SELECT * FROM {at})"
 
 
-#: op7: every run of up to ten document words against every window of the items, by equality of the words. op9: classes
+#: op4: windows compared word by word, histograms and distances in long tables. op7: every run of up to ten document words against every window of the items, by equality of the words. op9: classes
 #: of equal 200-byte strings, without hashes.
 ORACLES: dict[str, str] = {
+    "op4_quality_rules": _QUALITY,
     "op7_decontaminate": f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, row_number() OVER () AS i, {_WORDS} AS w FROM benchmark),

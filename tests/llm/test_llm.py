@@ -169,7 +169,7 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontaminate.contamination(docs.select("doc_id", "text"), bench.where("1 = 0")).where("contaminated").count() == 0
 
 
-@pytest.mark.parametrize("name", ["op7_decontaminate", "op9_suffix_dedup"])
+@pytest.mark.parametrize("name", ["op4_quality_rules", "op7_decontaminate", "op9_suffix_dedup"])
 def test_sql(spark, docs, rows, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     from drawwell.llm.queries import ORACLES, QUERIES
