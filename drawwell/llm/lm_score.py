@@ -20,10 +20,8 @@ repeated rows count as often as they occur; other columns play no part.
 
 from __future__ import annotations
 
-from array import array
 from collections import Counter
-from itertools import compress, repeat
-from operator import not_
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +45,6 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
-def numbered(own: list[bytes], words: dict[bytes, int]) -> list[int]:
-    """Numbers of words; 0 for those without one."""
-    return list(map(words.get, own, repeat(0)))
-
-
 def count_words(docs: DataFrame) -> DataFrame:
     """(token, n) over all tokens of the texts."""
 
@@ -87,35 +80,15 @@ def threshold(counts: DataFrame, most: int, least: int = 1) -> int:
 
 
 class Automaton:
-    """words: numbers of words, 1 and up. arcs[s << SHIFT | w]: (state, log10 of the probability). fail[s]: the state
-    for the next shorter context and log10 of the failure weight. State 0 is the root.
-
-    The arcs of the longest contexts stay arrays (leaves) while the automaton is built, and it is pickled as arrays: the
-    driver never holds all arcs as objects. Once unpickled, all are in arcs.
-    """
+    """words: numbers of words, 1 and up. next[s << SHIFT | w]: (state, log10 of the probability). fail[s]: the state
+    for the next shorter context and log10 of the failure weight. State 0 is the root."""
 
     def __init__(self, words: dict[bytes, int], root: list[float]):
         self.words, self.root = words, root
         self.arcs: dict[int, tuple[int, float]] = {}
-        self.leaves = (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0))
         self.fail: list[tuple[int, float]] = [(0, 0.0)]
-        self.seen = array("d", [0.0])
+        self.seen: list[float] = [0.0]
         self.of_word = [0] * (len(root))
-        self.levels: list[tuple[np.ndarray, int]] = []
-
-    def __getstate__(self) -> dict:
-        n = len(self.arcs)
-        keys, to = np.fromiter(self.arcs, np.int64, n), np.fromiter((t for t, _ in self.arcs.values()), np.int32, n)
-        inner = (keys, to, np.fromiter((p for _, p in self.arcs.values()), np.float64, n))
-        shorter = (np.fromiter((t for t, _ in self.fail), np.int32, len(self.fail)), np.fromiter((p for _, p in self.fail), np.float64, len(self.fail)))
-        return {"words": self.words, "root": self.root, "of_word": self.of_word, "fail": shorter, "arcs": (inner, self.leaves)}
-
-    def __setstate__(self, state: dict) -> None:
-        self.words, self.root, self.of_word = state["words"], state["root"], state["of_word"]
-        pairs = lambda to, p: zip(to.tolist(), p.tolist(), strict=True)
-        self.fail, self.arcs = list(pairs(*state["fail"])), {}
-        for keys, to, p in state["arcs"]:
-            self.arcs.update(zip(keys.tolist(), pairs(to, p), strict=True))
 
     def probability(self, state: int, word: int) -> float:
         """Of a numbered word in a state, by following failure arcs."""
@@ -135,11 +108,9 @@ class Automaton:
             state = self.fail[state][0]
         return self.of_word[word]
 
-    def grow(self, keys: np.ndarray, counts: np.ndarray, leads: bool) -> None:
-        """Add the arcs (state << SHIFT | word, sorted, and its count) of the newest states; with leads each gets a state
-        of its own, in the same order."""
-        if leads and len(keys):
-            self.levels.append((keys, len(self.fail)))
+    def grow(self, keys: np.ndarray, counts: np.ndarray, leads: bool) -> list[int]:
+        """Arcs (state << SHIFT | word, count) of the newest states; with leads each gets a state of its own. Returns
+        the new states."""
         totals, taken = {}, {}
         keys, counts = keys.tolist(), counts.tolist()
         for key, n in zip(keys, counts, strict=True):
@@ -148,20 +119,20 @@ class Automaton:
         for s, kept in totals.items():
             taken[s] = 1.0 - kept / self.seen[s]
             self.fail[s] = (self.fail[s][0], float(np.log10(taken[s])))
-        to, log = np.zeros(len(keys), np.int32), np.zeros(len(keys))
-        for i, (key, n) in enumerate(zip(keys, counts, strict=True)):
+        new, arcs = [], {}
+        for key, n in zip(keys, counts, strict=True):
             s, w = key >> _SHIFT, key & ((1 << _SHIFT) - 1)
             back = self.fail[s][0]
-            log[i] = np.log10((n - DISCOUNT) / self.seen[s] + taken[s] * self.probability(back, w))
-            to[i] = self.longest(back, w)
+            p = (n - DISCOUNT) / self.seen[s] + taken[s] * self.probability(back, w)
+            to = self.longest(back, w)
             if leads:
-                self.fail.append((int(to[i]), 0.0))
+                self.fail.append((to, 0.0))
                 self.seen.append(float(n))
-                to[i] = len(self.fail) - 1
-        if leads:
-            self.arcs.update(zip(keys, zip(to.tolist(), log.tolist(), strict=True), strict=True))
-        else:
-            self.leaves = (np.array(keys, np.int64), to, log)
+                to = len(self.fail) - 1
+                new.append(to)
+            arcs[key] = (to, float(np.log10(p)))
+        self.arcs.update(arcs)
+        return new
 
     def walk(self, words: list[int]) -> float:
         """log10 of the probability of a text's words, without the root's share for words that have no number (0)."""
@@ -182,37 +153,38 @@ class Automaton:
         return total
 
 
-def count_arcs(docs: DataFrame, automaton: Automaton) -> DataFrame:
-    """(key, n) of each (state << SHIFT | word) in the texts, for a state among the newest ones.
-
-    The state of each length at a place is looked up from the shorter one at the place before, for a batch of texts at
-    once: levels has the sorted keys of each length's arcs and the first of the states they lead to, in the same order.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((automaton.words, np.array(automaton.of_word, np.int64), automaton.levels))
+def count_arcs(docs: DataFrame, automaton: Automaton, states: range) -> DataFrame:
+    """(key, n) of each (state << SHIFT | word) in the texts, for a state among the newest ones."""
+    shared = docs.sparkSession.sparkContext.broadcast(vars(automaton))
+    low = states.start
 
     def counted(batches):
-        words, of_word, levels = shared.value
-        held, size = [], 0
+        a = SimpleNamespace(**shared.value)
+        held: list[int] = []
 
         def flush():
-            keys, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+            keys, n = np.unique(np.array(held, np.int64), return_counts=True)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
 
+        number, arcs, fail, of_word = a.words.get, a.arcs, a.fail, a.of_word
         for batch in batches:
             for text in batch.column(0):
-                # the end of a text has no state, so it isn't needed for the states of the next one
-                w = np.array(numbered(tokens(text.as_py()), words), np.int64)
-                at = of_word[w]
-                for keys, first in levels:
-                    key = at[:-1] << _SHIFT | w[1:]
-                    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    at = np.append(0, np.where((keys[place] == key) & (w[1:] > 0), place + first, 0))
-                held.append((at[:-1] << _SHIFT | w[1:])[(at[:-1] > 0) & (w[1:] > 0)])
-                size += len(held[-1])
-                if size > 4 * _FLUSH:
+                state = 0
+                for token in tokens(text.as_py()):
+                    w = number(token, 0)
+                    if state >= low and w:
+                        held.append(state << _SHIFT | w)
+                    while state:
+                        hit = arcs.get(state << _SHIFT | w)
+                        if hit is not None:
+                            state = hit[0]
+                            break
+                        state = fail[state][0]
+                    else:
+                        state = of_word[w]
+                if len(held) > 2 * _FLUSH:
                     yield flush()
-                    size = 0
         yield flush()
 
     return docs.select("text").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -240,7 +212,7 @@ def train(docs: DataFrame, order: int = ORDER, max_words: int = MAX_WORDS, max_a
         last = len(automaton.fail)
         if first == last:
             break
-        arcs = stored(count_arcs(docs, automaton), f"lm-{k}-grams")
+        arcs = stored(count_arcs(docs, automaton, range(first, last)), f"lm-{k}-grams")
         kept = arcs.where(F.col("n") >= threshold(arcs, max_arcs, 2)).toArrow()  # at most max_arcs rows
         keys, c = kept.column("key").to_numpy(), kept.column("n").to_numpy()
         by = np.argsort(keys)
@@ -254,19 +226,20 @@ _PART = "struct<n:long,known:long,base:double,score:double,rare:array<struct<tok
 
 def score_texts(docs: DataFrame, automaton: Automaton, counts: DataFrame, n: int, v: int) -> DataFrame:
     """docs (doc_id, text) with n_tokens, n_known, base_score and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(automaton))
     kind = pa.list_(pa.struct([("token", pa.binary()), ("times", pa.int64())]))
 
     @F.arrow_udf(_PART)
     def scored(texts: pa.Array) -> pa.Array:
-        a = shared.value
+        a = SimpleNamespace(**shared.value)
+        number, root = a.words.get, a.root
         rows = []
         for text in texts:
             own = tokens(text.as_py())
-            numbers = numbered(own, a.words)
-            rare = Counter(compress(own, map(not_, numbers)))
+            numbers = [number(t, 0) for t in own]
+            rare = Counter(t for t, w in zip(own, numbers, strict=True) if not w) if 0 in numbers else {}
             # root[0] is 0, so words without a number add nothing here
-            rows.append((len(own), len(own) - rare.total(), sum(map(a.root.__getitem__, numbers)), a.walk(numbers), [{"token": t, "times": c} for t, c in rare.items()]))
+            rows.append((len(own), len(own) - sum(rare.values()), sum([root[w] for w in numbers]), Automaton.walk(a, numbers), [{"token": t, "times": c} for t, c in rare.items()]))
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), kind)
         columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
         return pa.StructArray.from_arrays(columns, ["n", "known", "base", "score", "rare"])
