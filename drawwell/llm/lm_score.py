@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawwell.llm.common import fold, stored, table
+from drawwell.llm.lm_tables import score_all
 
 ORDER = 3
 DISCOUNT = 0.75
@@ -261,10 +262,9 @@ def score_texts(docs: DataFrame, automaton: Automaton, counts: DataFrame, n: int
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model and unigram scores of every whole document, learned from those outside the held-out fold."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    automaton, counts, n, v = train(docs.where(fold(F.col("doc_id"), FOLDS) != 1))
-    found = score_texts(docs, automaton, counts, n, v)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold(F.col("doc_id"), FOLDS) != 1).alias("training"))
+    found, n, _ = score_all(docs)
     return found.select(
-        "doc_id", (fold(F.col("doc_id"), FOLDS) == 1).alias("held_out"), "n_tokens", "n_known",
+        "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known",
         F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
     )

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from drawwell.llm import decontaminate, language_id, lm_score, mixing, quality_rules, secret_scan, simhash, suffix_dedup, token_count, toxicity
+from drawwell.llm import decontaminate, language_id, lm_score, lm_tables, mixing, quality_rules, secret_scan, simhash, suffix_dedup, token_count, toxicity
 
 SPACE = r"[^\x20\x09-\x0D]+"
 TOKEN = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256","typ":"JWT"}', b'{"sub":"someone"}', bytes(range(32))))
@@ -206,6 +206,44 @@ def test_language_model(docs, rows, empty):
     assert (n, v) == (0, 0) and lm_score.score_texts(docs.select("doc_id", "text"), automaton, counts, n, v).toPandas()["score"].eq(0).all()
 
 
+def test_language_model_whole(docs, rows, empty, monkeypatch):
+    """All n-grams count, those seen once and those of rare words too, over many shards and chunks."""
+    monkeypatch.setattr(lm_tables, "SHARD_BYTES", 1 << 11)
+    monkeypatch.setattr(lm_tables, "CHUNK_BYTES", 1 << 12)
+    trained = lambda doc_id: doc_id is None or doc_id % 3 > 0
+    grams, after = Counter(), {}
+    texts = [lm_score.tokens(r[1]) for r in rows if trained(r[0])]
+    for t in texts:
+        for k in (1, 2, 3):
+            for i in range(len(t) - k + 1):
+                grams[tuple(t[i : i + k])] += 1
+                after.setdefault(tuple(t[i : i + k - 1]), set()).add(t[i + k - 1])
+    n, v = sum(map(len, texts)), len(after[()])
+
+    def p(context, w):
+        if not context:
+            return (grams[(w,)] + 0.5) / (n + 0.5 * (v + 1))
+        if not (total := grams[context]):
+            return p(context[1:], w)
+        return (max(grams[(*context, w)] - 0.75, 0) + 0.75 * len(after[context]) * p(context[1:], w)) / total
+
+    want = []
+    for r in rows:
+        t = lm_score.tokens(r[1])
+        base, score = sum(np.log10(p((), w)) for w in t), sum(np.log10(p(tuple(t[max(i - 2, 0) : i]), w)) for i, w in enumerate(t))
+        want.append((str(r[0]), len(t), sum(grams[(w,)] > 0 for w in t), base, score))
+    F = mixing.F
+    frame = docs.select("doc_id", "text", F.coalesce(F.col("doc_id") % 3 > 0, F.lit(True)).alias("training"))
+    found, n_got, v_got = lm_tables.score_all(frame)
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in found.collect())
+    assert (n_got, v_got) == (n, v) and len(got) == len(want)
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:])
+    found, *none = lm_tables.score_all(frame.withColumn("training", F.lit(False)))
+    assert none == [0, 0] and found.toPandas()["score"].eq(0).all()
+    assert lm_tables.score_all(frame.where("1 = 0"))[0].count() == 0
+
+
 def test_suffix_dedup(docs, rows, empty):
     data = [(r[1] or "").encode() for r in rows]
     seen = Counter(b[i : i + 200] for b in data for i in range(len(b) - 199))
