@@ -34,12 +34,16 @@ DISCOUNT = 0.75
 #: Bytes of text for each shard of n-grams, and in a chunk.
 SHARD_BYTES = 1 << 24
 CHUNK_BYTES = 1 << 23
+#: Frequent words that blobs name by 16-bit numbers, and bytes of text that they are looked for in.
+BOOK_WORDS = (1 << 16) - 1
+BOOK_BYTES = 1 << 22
 #: The n-grams of one first word are spread over so many shards at most.
 SPREAD = 16
 _BLOCK = 1 << 20
 _MASK = (1 << 64) - 1
 _ODD = 0x9E3779B97F4A7C15
 _STEP = 0xD6E8FEB86659FD93
+_NONE = np.empty(0, np.uint64)
 _PAD, _END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 
 
@@ -140,12 +144,12 @@ class Grams:
         self.gram_cut = np.searchsorted(self.pair_of, self.pair_cut)
         self.a_cut = np.searchsorted(heads, self.pair_cut)
 
-    def requests(self, weight: np.ndarray):
+    def requests(self, weight: np.ndarray, book: np.ndarray = _NONE):
         """(shard, blob) with the trigrams and their counts, by the weight of each entry."""
         n = np.bincount(self.gram, weight, len(self.c)).astype(np.int64)
         for i, shard in enumerate(self.shards.tolist()):
             a, p, g = (slice(c[i], c[i + 1]) for c in (self.a_cut, self.pair_cut, self.gram_cut))
-            yield shard, pack(self.a[a], self.b[p], self.c[g], self.pairs_of_a[a], self.grams_of_pair[p], n[g])
+            yield shard, pack(self.a[a], self.b[p], self.c[g], self.pairs_of_a[a], self.grams_of_pair[p], n[g], book=book)
 
 
 class Words:
@@ -161,36 +165,60 @@ class Words:
         self.shards, cut = np.unique(shard[by], return_index=True)
         self.cut = np.append(cut, len(by))
 
-    def requests(self, *counts: np.ndarray):
+    def requests(self, *counts: np.ndarray, book: np.ndarray = _NONE):
         for i, shard in enumerate(self.shards.tolist()):
             s = slice(self.cut[i], self.cut[i + 1])
-            yield shard, pack(self.keys[s], *(c[self.by][s] for c in counts))
+            yield shard, pack(self.keys[s], *(c[self.by][s] for c in counts), book=book)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of keys (unsigned) as they are, arrays of counts in the smallest type and compressed."""
+def pack(*arrays: np.ndarray, book: np.ndarray = _NONE) -> bytes:
+    """Arrays of counts in the smallest type and compressed; arrays of keys (unsigned) as their numbers in the sorted
+    book, compressed, and the other keys as they are."""
     out = []
     for x in arrays:
-        if x.dtype == np.uint64:
-            size, raw = 0, x.tobytes()
-        else:
-            x = x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
-            size, raw = x.itemsize, zlib.compress(x.tobytes(), 1)
-        out += [struct.pack("<qqq", size, len(x), len(raw)), raw]
+        rest = b""
+        if keys := x.dtype == np.uint64:
+            at = np.searchsorted(book, x)
+            known = np.append(book, np.uint64(0))[at] == x if len(book) else np.zeros(len(x), bool)
+            known &= at < len(book)
+            rest, x = x[~known].tobytes(), np.where(known, at, len(book))
+        x = x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+        raw = zlib.compress(x.tobytes(), 1)
+        out += [struct.pack("<BBII", keys, x.itemsize, len(raw), len(rest)), raw, rest]
     return b"".join(out)
 
 
-def unpack(blob: bytes) -> list[np.ndarray]:
+def unpack(blob: bytes, book: np.ndarray = _NONE) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(blob):
-        size, n, length = struct.unpack_from("<qqq", blob, at)
-        at += 24
-        raw = blob[at : at + length]
-        out.append(np.frombuffer(zlib.decompress(raw), f"u{size}").astype(np.int64) if size else np.frombuffer(raw, np.uint64))
-        at += length
+        keys, size, n, more = struct.unpack_from("<BBII", blob, at)
+        at += 10
+        x = np.frombuffer(zlib.decompress(blob[at : at + n]), f"u{size}").astype(np.int64)
+        if keys:
+            known = x < len(book)
+            codes, x = x, np.empty(len(x), np.uint64)
+            x[known] = book[codes[known]]
+            x[~known] = np.frombuffer(blob, np.uint64, more // 8, at + n)
+        out.append(x)
+        at += n + more
     return out
 
 
+def code_book(docs: DataFrame, size: int) -> np.ndarray:
+    """The most frequent words of a sample of the texts, sorted: what a blob may shorten, nothing else."""
+
+    def counted(batches):
+        for batch in batches:
+            tokens = Tokens(batch.column(0))
+            keys, n = np.unique(tokens.h[~tokens.is_end], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(size // BOOK_BYTES + 1)) == 0)
+    counts = sample.mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "key").limit(BOOK_WORDS).toArrow()  # at most BOOK_WORDS rows
+    return np.sort(top.column("key").to_numpy().view(np.uint64))
+
+
 def checksum(*keys: np.ndarray) -> np.ndarray:
     return np.array([sum(int(np.add.reduce(k)) for k in keys) & _MASK], np.uint64)
 
@@ -254,9 +282,9 @@ def _texts(held: list) -> pa.Array:
     return pa.concat_arrays([b.column("text") for b in held])
 
 
-def count_shard(blobs: list[tuple[int, bytes]], word_shards: int):
+def count_shard(blobs: list[tuple[int, bytes]], word_shards: int, book: np.ndarray):
     """Answers (chunk, shard's counts) and what the shard adds to its words, from all chunks' n-grams of one shard."""
-    told = [unpack(x) for _, x in blobs]
+    told = [unpack(x, book) for _, x in blobs]
     sizes_b, sizes_c = [len(t[1]) for t in told], [len(t[2]) for t in told]
     a, b, c, of_a, of_b, n = (np.concatenate([t[i] for t in told]) for i in range(6))
     long_a = np.repeat(a, of_a)
@@ -278,12 +306,12 @@ def count_shard(blobs: list[tuple[int, bytes]], word_shards: int):
         answers.append((chunk, pack(n2[i : i + nb], d2[i : i + nb], total[j : j + nc], checksum(t[0], t[1], t[2]))))
         i, j = i + nb, j + nc
     seen = n1 > 0
-    return answers, list(Words(words[seen], word_shards).requests(n1[seen], d1[seen]))
+    return answers, list(Words(words[seen], word_shards).requests(n1[seen], d1[seen], book=book))
 
 
-def count_words(blobs: list[tuple[int, bytes]]):
+def count_words(blobs: list[tuple[int, bytes]], book: np.ndarray):
     """Answers (chunk, counts) of one shard of words, the sum of the counts and the number of words."""
-    told = [(c, unpack(x)) for c, x in blobs]
+    told = [(c, unpack(x, book)) for c, x in blobs]
     parts = [t for c, t in told if c < 0]
     keys = np.concatenate([np.empty(0, np.uint64), *(t[0] for t in parts)])
     words, word = np.unique(keys, return_inverse=True)
@@ -335,6 +363,7 @@ def score_all(docs: DataFrame) -> tuple[DataFrame, int, int]:
     the number of training tokens and of distinct ones."""
     size, n_texts = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("training")).first()
     shards, word_shards = math.ceil((size + 1) / SHARD_BYTES), math.ceil((size + 1) / (4 * SHARD_BYTES))
+    shared = docs.sparkSession.sparkContext.broadcast(code_book(docs, size))
     # the same columns in each reading: what is pruned can change the order of rows
     texts = docs.select("doc_id", "text", "training", F.spark_partition_id().alias("part"))
 
@@ -344,7 +373,7 @@ def score_all(docs: DataFrame) -> tuple[DataFrame, int, int]:
                 tokens = Tokens(_texts(held))
                 grams = Grams(tokens, shards)
                 training = np.concatenate([b.column("training").to_numpy(zero_copy_only=False) for b in held])
-                for shard, blob in grams.requests(np.repeat(training, tokens.sizes)[grams.at]):
+                for shard, blob in grams.requests(np.repeat(training, tokens.sizes)[grams.at], shared.value):
                     yield shard, chunk, blob
 
         yield from _rows(rows())
@@ -353,7 +382,7 @@ def score_all(docs: DataFrame) -> tuple[DataFrame, int, int]:
         def rows():
             for chunk, held in chunks(batches):
                 tokens = Tokens(_texts(held))
-                for shard, blob in Words(tokens.h[~tokens.is_end], word_shards).requests():
+                for shard, blob in Words(tokens.h[~tokens.is_end], word_shards).requests(book=shared.value):
                     yield shard, chunk, blob
 
         yield from _rows(rows())
@@ -361,7 +390,7 @@ def score_all(docs: DataFrame) -> tuple[DataFrame, int, int]:
     def answer_grams(batches):
         def rows():
             for shard, blobs in _by_shard(batches).items():
-                answers, adds = count_shard(blobs, word_shards)
+                answers, adds = count_shard(blobs, word_shards, shared.value)
                 yield from ((shard, chunk, blob) for chunk, blob in answers)
                 yield from ((to, -1, blob) for to, blob in adds)
 
@@ -370,7 +399,7 @@ def score_all(docs: DataFrame) -> tuple[DataFrame, int, int]:
     def answer_words(batches):
         def rows():
             for shard, blobs in _by_shard(batches).items():
-                answers, n, v = count_words(blobs)
+                answers, n, v = count_words(blobs, shared.value)
                 yield from ((shard, chunk, blob) for chunk, blob in answers)
                 yield shard, -1, pack(np.array([n, v], np.int64))
 
