@@ -37,7 +37,8 @@ def _single(spark, sf_dir) -> DataFrame:
 
 def _by_lang(spark, sf_dir) -> list[DataFrame]:
     docs = _docs(spark, sf_dir).drop("payload")
-    return [A.dense_index(docs.where(F.col("lang") == r), ["doc_id"], "sample_id") for r in ("de", "en", "es", "fr")]
+    langs = docs.select("lang").distinct().orderBy(F.asc_nulls_last("lang")).collect()  # a row a cache; nulls last, as in the SQL
+    return [A.dense_index(docs.where(F.col("lang").eqNullSafe(F.lit(r["lang"]))), ["doc_id"], "sample_id") for r in langs]
 
 
 def _balanced(spark, sf_dir) -> DataFrame:

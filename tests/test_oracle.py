@@ -27,3 +27,12 @@ def rows(frame):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows(spark, duck, name):
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(duck.sql(ORACLES[name]).df())
+
+
+@pytest.mark.parametrize("name", ["active_table_multi_cache", "cache_offsets", "locate_physical"])
+def test_any_language(spark, tmp_path, name):
+    docs = [(i, lang, i, "s", "t") for i, lang in enumerate(["en", "pl", None, "de", "pl", None, "en"])]
+    spark.createDataFrame(docs, "doc_id long, lang string, n_chars long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.sql(ORACLES[name]).df())
