@@ -105,6 +105,20 @@ def _window(start, length, keep=None):
     return query
 
 
+def sequential_wrap_population(spark, sf_dir):
+    """A window over the whole table that starts 30 rows before its end."""
+    table = _single(spark, sf_dir)
+    n = table.count()
+    return _joined(sampling.sequential(spark, n - 30, 60, n), table)
+
+
+def sequential_past_population(spark, sf_dir):
+    """A window 50 rows longer than the whole table."""
+    table = _single(spark, sf_dir)
+    n = table.count()
+    return _joined(sampling.sequential(spark, 0, n + 50, n), table)
+
+
 def sequential_duplicates(spark, sf_dir):
     table = active_concat_duplicates(spark, sf_dir)
     return _joined(sampling.sequential(spark, 100, 200, table.count()), table)
@@ -236,7 +250,7 @@ def schema_agreement(spark, sf_dir):
 
 
 def write_results_partial_failure(spark, sf_dir):
-    good, bad = _docs(spark, sf_dir).limit(20), _docs(spark, sf_dir).limit(20).withColumn("lang", F.lit(None).cast("string"))
+    good, bad = _docs(spark, sf_dir), _docs(spark, sf_dir).withColumn("lang", F.lit(None).cast("string"))
     done = write_cache(spark, [FrameSource("bad", bad, ("doc_id",)), FrameSource("good", good, ("doc_id",))], _fresh(spark))
     return spark.createDataFrame([(d.source_name, hasattr(d, "path")) for d in done], "source_name string, written boolean")
 
@@ -252,6 +266,7 @@ def embeddings_round_trip(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     active_table_full, active_table_multi_cache, active_head, active_tail, active_filter, active_sort_desc,
     active_concat_duplicates, class_balance_weights, ohem_weights_with_extras, sequential_duplicates, weighted_draws,
+    sequential_wrap_population, sequential_past_population,
     draw_histogram, cache_offsets, locate_physical, record_lengths, shard_assignment, index_table, shard_summary,
     payload_sha256, manifest_summary, materialise_samples, materialise_weighted, reject_unknown_identity,
     reject_null_or_negative_ids, reject_bad_weights, embedded_mismatch, schema_agreement,
@@ -317,6 +332,8 @@ ORACLES = {
     "sequential_duplicates": f"{_DUP} " + _SEQ.format(n=200, t="V", s=100, m=130),
     "uniform_draws": _uniform_sql(0, 1000),
     "uniform_draws_third_window": _uniform_sql(2000, 1000),
+    "sequential_wrap_population": f"{_T} " + _SEQ.format(n=60, t="A", s="(SELECT count(*) - 30 FROM A)", m="(SELECT count(*) FROM A)"),
+    "sequential_past_population": f"{_T} " + _SEQ.format(n="(SELECT count(*) + 50 FROM A)", t="A", s=0, m="(SELECT count(*) FROM A)"),
     "weighted_draws": _DRAWS,
     "draw_histogram": f"SELECT cache_id, sample_id, count(*) AS n_draws FROM ({_DRAWS}) GROUP BY ALL",
     "cache_offsets": f"{_M} SELECT cache_id, min(active_pos) AS cache_offset, count(*) AS sample_count FROM M GROUP BY cache_id",

@@ -1,6 +1,7 @@
 """Every query that has SQL against DuckDB, on the smallest tables."""
 
 from pathlib import Path
+from types import SimpleNamespace
 
 import duckdb
 import pytest
@@ -36,3 +37,14 @@ def test_any_language(spark, tmp_path, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.sql(ORACLES[name]).df())
+
+
+def test_partial_failure_writes_all(spark, monkeypatch):
+    from drawwell.plans import queries
+
+    sizes = []
+    monkeypatch.setattr(queries, "write_cache", lambda spark, sources, path: sizes.extend(s.frame.count() for s in sources) or [])
+    monkeypatch.setattr(queries, "FrameSource", lambda name, frame, keys: SimpleNamespace(frame=frame))
+    monkeypatch.setattr(spark, "createDataFrame", lambda *_: None, raising=False)
+    queries.write_results_partial_failure(spark, SF)
+    assert sizes == [spark.read.parquet(f"{SF}/documents.parquet").count()] * 2
