@@ -137,6 +137,13 @@ def weighted_draws(spark, sf_dir):
     return _joined(sampling.weighted_draws(table, SEED, 0, 2 * table.count()), table)
 
 
+def weighted_draws_duplicates(spark, sf_dir):
+    """Draws over the whole balanced table twice over."""
+    table = _balanced(spark, sf_dir)
+    table = A.concat(table, table)
+    return _joined(sampling.weighted_draws(table, SEED, 0, 2 * table.count()), table)
+
+
 def draw_histogram(spark, sf_dir):
     return weighted_draws(spark, sf_dir).groupBy("cache_id", "sample_id").agg(F.count("*").alias("n_draws"))
 
@@ -266,7 +273,7 @@ def embeddings_round_trip(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     active_table_full, active_table_multi_cache, active_head, active_tail, active_filter, active_sort_desc,
     active_concat_duplicates, class_balance_weights, ohem_weights_with_extras, sequential_duplicates, weighted_draws,
-    sequential_wrap_population, sequential_past_population,
+    sequential_wrap_population, sequential_past_population, weighted_draws_duplicates,
     draw_histogram, cache_offsets, locate_physical, record_lengths, shard_assignment, index_table, shard_summary,
     payload_sha256, manifest_summary, materialise_samples, materialise_weighted, reject_unknown_identity,
     reject_null_or_negative_ids, reject_bad_weights, embedded_mismatch, schema_agreement,
@@ -302,6 +309,8 @@ SELECT k AS seq, cache_id, sample_id FROM X JOIN R ON x >= hi - q AND x < hi"""
 
 _B = f"""{_T}, C AS (SELECT quality, count(*) AS n FROM A JOIN labels USING (doc_id) GROUP BY quality),
 B AS (SELECT cache_id, sample_id, 1.0 / C.n AS weight, row_number() OVER (ORDER BY active_pos) - 1 AS active_pos FROM A JOIN labels USING (doc_id) JOIN C USING (quality))"""
+_TWICE = _B.replace("\nB AS (", "\nB0 AS (") + """,
+B AS (SELECT cache_id, sample_id, weight, row_number() OVER (ORDER BY s, active_pos) - 1 AS active_pos FROM (SELECT 0 AS s, * FROM B0 UNION ALL SELECT 1, * FROM B0))"""
 _DRAWS = _drawn(_B, "0, 2 * (SELECT n FROM N)")
 _DUP = f"""{_T}, U AS (SELECT 0 AS s, * FROM A WHERE active_pos < 50 UNION ALL SELECT 1, * FROM A WHERE active_pos >= (SELECT count(*) - 30 FROM A)
 UNION ALL SELECT 2, * FROM A WHERE active_pos < 50), V AS (SELECT {_KEEP}, row_number() OVER (ORDER BY s, active_pos) - 1 AS active_pos FROM U)"""
@@ -335,6 +344,7 @@ ORACLES = {
     "sequential_wrap_population": f"{_T} " + _SEQ.format(n=60, t="A", s="(SELECT count(*) - 30 FROM A)", m="(SELECT count(*) FROM A)"),
     "sequential_past_population": f"{_T} " + _SEQ.format(n="(SELECT count(*) + 50 FROM A)", t="A", s=0, m="(SELECT count(*) FROM A)"),
     "weighted_draws": _DRAWS,
+    "weighted_draws_duplicates": _drawn(_TWICE, "0, 2 * (SELECT n FROM N)"),
     "draw_histogram": f"SELECT cache_id, sample_id, count(*) AS n_draws FROM ({_DRAWS}) GROUP BY ALL",
     "cache_offsets": f"{_M} SELECT cache_id, min(active_pos) AS cache_offset, count(*) AS sample_count FROM M GROUP BY cache_id",
     "locate_physical": f"{_M} SELECT active_pos AS physical, cache_id, sample_id FROM M",
