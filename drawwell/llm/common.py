@@ -19,10 +19,32 @@ ALNUM_WORDS = bytes(
 )
 
 
+#: Bytes of rows that a Python worker gets at once, however many rows they are.
+BATCH_BYTES = 1 << 22
+
+
+def prepared(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, and fixes how many parts files are cut into at least: by itself Spark goes by the
+    cores of the moment, so a table read again after an executor is lost would be cut elsewhere."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", spark.sparkContext.defaultParallelism)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores in front until none of the columns is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode."""
     if path := spark.conf.get("spark.checkpoint.dir", None):
@@ -39,6 +61,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: its lineage ends there, and a lost executor costs
     no more than the tasks that it ran."""
     spark = df.sparkSession
+    prepared(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,12 +1,14 @@
 """Toxicity: logistic regression over hashed word n-grams and skip-grams, fitted with FTRL-proximal.
 
 Every coordinate has a learning rate of its own, and L1 leaves most weights at exactly zero, so the model is a short
-list of (coordinate, weight) that is broadcast. It is fitted in one task on at most SAMPLE_DOCS labelled documents,
-those with the smallest hash of doc_id; that is the documented bound of the sample. Scoring reads whole texts.
+list of (coordinate, weight) that is broadcast. It is fitted in one task on a bounded sample: of the distinct labelled
+texts those with the smallest hash of doc_id, at most SAMPLE_DOCS of them and SAMPLE_BYTES of text in all. Scoring reads
+whole texts of all documents.
 
 Defined cases: null and empty texts have no features and get the score of the bias alone; a null label is no label; of
 several labels for one doc_id the largest counts; without any label (or with labels of one class only) all scores are 0;
-repeated rows get the same score; other columns stay as they are.
+rows repeated in doc_id and text are learned from once and get the same score; ties in the sample's order go by doc_id,
+then by the text's hash; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -15,13 +17,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from drawwell.llm.common import ALNUM_WORDS, fold, table
+from drawwell.llm.common import ALNUM_WORDS, fold, stored, table
 
-BITS = 24
+BITS = 22
+#: Bounds of the sample that the model is fitted on: documents, and bytes of their texts.
 SAMPLE_DOCS = 12_000
+SAMPLE_BYTES = 1 << 25
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 6.0, 0.0
 FOLDS = 5
@@ -41,7 +46,7 @@ def hashed_features(text: str | None) -> np.ndarray:
             parts.append((h[:-gap] * _GOLDEN + h[gap:]) * _KINDS[gap])
     x = np.concatenate(parts)
     x ^= x >> np.uint64(29)
-    return ((x * _GOLDEN) >> np.uint64(64 - BITS)).astype(np.int64)
+    return ((x * _GOLDEN) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 def fit_ftrl(features: list[np.ndarray], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -67,6 +72,24 @@ def fit_ftrl(features: list[np.ndarray], labels: list[int], epochs: int = EPOCHS
     return at, weights(z[at], n[at]).astype(np.float64), -z0 / ((BETA + n0**0.5) / ALPHA)
 
 
+@F.arrow_udf(T.BinaryType())
+def packed_features(texts: pa.Array) -> pa.Array:
+    """The distinct coordinates of each text, four bytes each."""
+    return pa.array([np.unique(hashed_features(t.as_py())).tobytes() for t in texts], pa.binary())
+
+
+def sampled(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(id, tie, toxic): distinct labelled texts of docs (doc_id, text) within both bounds."""
+    label = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    first = label.orderBy(F.xxhash64("id"), "id").limit(sample_docs)  # broadcast below: at most sample_docs rows
+    sized = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    rows = sized.join(F.broadcast(first), F.col("doc_id") == F.col("id")).select("id", "tie", "toxic", "size").distinct()
+    order = [F.xxhash64("id"), F.col("id"), F.col("tie")]
+    whole = rows.orderBy(*order).limit(sample_docs)
+    sums = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over sample_docs rows at most
+    return whole.withColumn("bytes", sums).where(F.col("bytes") <= sample_bytes).select("id", "tie", "toxic")
+
+
 class ToxicityModel:
     """A fitted model; score() makes a column of probabilities."""
 
@@ -74,29 +97,32 @@ class ToxicityModel:
         self.at, self.weights, self.bias = at, weights, bias
 
     @classmethod
-    def fit(cls, docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ToxicityModel:
+    def fit(cls, docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
         """Fit on documents (doc_id, text) that labels (doc_id, toxic) cover."""
-        label = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-        picked = label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select(F.col("doc_id").alias("id"), "toxic")
-        rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("doc_id", "toxic", "text")
+        picked = stored(sampled(docs, labels, sample_docs, sample_bytes), "toxicity-sample")
+        own = (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("tie"))
+        rows = docs.select("doc_id", "text").join(F.broadcast(picked), own)  # at most sample_docs rows
+        rows = rows.select("id", "tie", "toxic", packed_features("text").alias("x")).groupBy("id", "tie", "toxic").agg(F.first("x").alias("x"))
 
         def fitted(batches):
             found = []
             for batch in batches:
-                for doc_id, toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    found.append((zlib.crc32(str(doc_id).encode()), doc_id, toxic, np.unique(hashed_features(text))))
-            found.sort(key=lambda r: (r[:3], len(r[3])))
-            if len({r[2] > 0 for r in found}) == 2:
-                at, w, bias = fit_ftrl([r[3] for r in found], [int(r[2] > 0) for r in found])
+                for doc_id, tie, toxic, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    found.append((zlib.crc32(str(doc_id).encode()), doc_id, tie, toxic, x))
+            found.sort()
+            labels = [r[3] for r in found]
+            if len(set(labels)) == 2:
+                at, w, bias = fit_ftrl([np.frombuffer(r[4], np.int32) for r in found], labels)
                 at, w = np.append(at, -1), np.append(w, bias)
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], ["at", "weight"])
 
-        # At most 2**BITS rows, and with L1 far fewer; they come from at most sample_docs documents.
+        # At most 2**BITS rows, and with L1 far fewer; one task gets the sample's features, which its bounds bound.
         model = rows.repartition(1).mapInArrow(fitted, "at long, weight double").toArrow()
         at, w = (model.column(i).to_numpy() for i in range(2))
         if not len(at):
             return cls(at, w, -np.inf)
-        return cls(at[:-1], w[:-1], float(w[-1])) if at[-1] == -1 else cls(at[at >= 0], w[at >= 0], float(w[at == -1][0]))
+        real = at >= 0
+        return cls(at[real], w[real], float(w[~real][0]))
 
     def score(self, spark: SparkSession, text: Column) -> Column:
         shared = spark.sparkContext.broadcast((self.at, self.weights, self.bias))
