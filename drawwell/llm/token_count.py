@@ -6,7 +6,8 @@ vocabulary holds a space symbol after another symbol, so no merge can ever cross
 the left chunk grows, twice as far each time, until one is found or the text ends.
 
 Defined cases: null and empty texts have no tokens; texts without any space (or otherwise without a stable boundary)
-end up as one chunk; repeated rows are counted one by one; other columns stay as they are.
+end up as one chunk; a text whose tokens do not stand for its bytes one by one is encoded as a whole; repeated rows are
+counted one by one; an empty table gives an empty result; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from drawwell.llm.common import table
 
 CHUNK_BYTES = 16384
 OVERLAP_BYTES = 256
+#: Chunks that are encoded in one call, and how far a chunk is widened at first.
+BATCH_CHUNKS = 64
+WIDEN_BYTES = 1024
 TOKEN_LIMIT = 4096
 SPACE = "▁"
 
@@ -68,30 +72,44 @@ class PieceCounter:
         """Byte offsets in the document where the tokens of a chunk start. The first token holds the added space."""
         return start - 1 + np.concatenate(([1], np.cumsum(self.width[ids])[:-1])) if ids else np.zeros(0, np.int64)
 
-    def _splice(self, data: bytes, spans: list[tuple[int, int]], encoded: list[list[int]]) -> int:
-        total, (start, end), ids = 0, spans[0], encoded[0]
-        own, base = self._starts(start, ids), 0  # tokens before `base` of this chunk are already counted
-        for (next_start, next_end), next_ids in zip(spans[1:], encoded[1:], strict=True):
-            if next_end <= end:  # an earlier widening already covers this chunk
-                continue
-            theirs, reach = self._starts(next_start, next_ids), self.overlap
+    def _splice(self, data: bytes, spans: list[tuple[int, int]]) -> int | None:
+        """Tokens of a document from its chunks; None if widths don't fit the text, so that nothing is proven."""
+        held: dict[int, list[int]] = {}
+
+        def encoded(i: int) -> list[int]:
+            if i not in held:
+                held.clear()
+                batch = spans[i : i + BATCH_CHUNKS]
+                held.update(enumerate(self.sp.encode([data[a:b].decode() for a, b in batch], num_threads=1), i))
+            return held[i]
+
+        size, total, i, base, reach = len(data), 0, 0, 0, WIDEN_BYTES
+        (start, end), ids = spans[0], encoded(0)
+        own = self._starts(start, ids)  # tokens before `base` of this chunk are already counted
+        while True:
+            if ids and int(self.width[ids].sum()) != end - start + 1:
+                return None
+            if end == size:
+                return total + len(ids) - base
+            while spans[i][1] <= end:  # the first chunk that goes on beyond this one
+                i += 1
+            next_start, next_end = spans[i]
+            theirs = self._starts(next_start, next_ids := encoded(i))
             # the space added before a chunk is no non-space: the chunk itself must hold what stands before the cut
-            inner = theirs[theirs > next_start]
-            while (cut := self._cut(data, own[base + 1 :], inner)) < 0 and end < next_end:
-                reach *= 2
-                end = min(next_end, end + reach)
-                while end < next_end and data[end] & 0xC0 == 0x80:
+            cut = self._cut(data, own[base + 1 :], theirs[theirs > next_start])
+            if cut < 0:  # twice as far each time, so all widenings of a chunk together cost no more than a few of the last
+                end, reach = min(size, end + reach), 2 * reach
+                while end < size and data[end] & 0xC0 == 0x80:
                     end += 1
                 own = self._starts(start, ids := self.sp.encode(data[start:end].decode()))
-            if cut < 0:  # widened over the whole of the next chunk: it is part of this one now
                 continue
             total += int(np.searchsorted(own, cut)) - base
-            start, end, ids, own = next_start, next_end, next_ids, theirs
+            start, end, ids, own, reach = next_start, next_end, next_ids, theirs, WIDEN_BYTES
             base = int(np.searchsorted(theirs, cut))
-        return total + len(ids) - base
 
     def count(self, texts: list[str | None]) -> list[int]:
-        """Tokens of each text. Encoder calls take bounded batches of chunks, so one huge text needs little memory."""
+        """Tokens of each text. An encoder call takes at most BATCH_CHUNKS chunks; only a text without stable boundaries
+        is encoded as a whole, as the library does."""
         out, plain, at = [0] * len(texts), [], []
 
         def flush() -> None:
@@ -106,11 +124,11 @@ class PieceCounter:
             if len(text) <= self.chunk // 3 or not self.stable or len(data := text.replace(SPACE, " ").encode()) <= self.chunk:
                 plain.append(text)
                 at.append(i)
-                if len(plain) >= 256:
+                if len(plain) >= BATCH_CHUNKS:
                     flush()
             else:
-                spans = self._spans(data, len(data))
-                out[i] = self._splice(data, spans, self.sp.encode([data[a:b].decode() for a, b in spans], num_threads=1))
+                spliced = self._splice(data, self._spans(data, len(data)))
+                out[i] = len(self.sp.encode(text)) if spliced is None else spliced
         if plain:
             flush()
         return out
