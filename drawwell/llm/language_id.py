@@ -5,8 +5,9 @@ taken as draws from a mixture of the languages' distributions; expectation-maxim
 the set of languages is the one with the best likelihood less a penalty for each further language, in the manner of BIC.
 
 Defined cases: a null text and a text without any letter give `und` with score 0; so does everything if nothing could
-be learned; equal likelihoods go to the language that sorts first; repeated rows get the same answer; other columns stay
-as they are.
+be learned; a text too short for any 4-gram gets the language that sorts first, with the probability of a guess; equal
+likelihoods go to the language that sorts first; more than MAX_LANGUAGES languages raise; repeated rows get the same
+answer; an empty table gives an empty result; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ SMOOTHING = 0.5
 PENALTY = 4.0
 ROUNDS = 12
 FOLDS = 4
-#: Cells of the broadcast table of log-probabilities; with more languages the hashed bins get fewer.
-MAX_CELLS = 1 << 26
+#: Languages that one model can tell apart: its table is broadcast, with 2**BITS probabilities for each.
+MAX_LANGUAGES = 256
 
 #: Spaces in place of ASCII characters that are no letters.
 _LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -77,24 +78,25 @@ class LanguageModel:
 
         learned = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
         sums = learned.mapInArrow(counted, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+        found = learned.select("lang").distinct().limit(MAX_LANGUAGES + 1).toArrow().column(0).to_pylist()
+        if len(found) > MAX_LANGUAGES:
+            raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        langs = sorted(found, key=lambda x: x.encode())
         rows = sums.toArrow()  # at most 2**BITS rows a language
-        langs = sorted(set(rows.column("lang").to_pylist()), key=lambda x: x.encode())
-        shift = 0
-        while len(langs) << (BITS - shift) > MAX_CELLS:
-            shift += 1
-        counts = np.zeros((1 << (BITS - shift), len(langs)))
+        counts = np.zeros((1 << BITS, len(langs)))
         place = {lang: i for i, lang in enumerate(langs)}
         column = np.array([place[x] for x in rows.column("lang").to_pylist()], np.int64)
-        np.add.at(counts, (rows.column("bin").to_numpy() >> shift, column), rows.column("n").to_numpy())
+        np.add.at(counts, (rows.column("bin").to_numpy(), column), rows.column("n").to_numpy())
         return cls(langs, (counts + SMOOTHING) / (counts + SMOOTHING).sum(0) if langs else counts)
 
-    def languages(self, text: str | None, penalty: float = PENALTY) -> list[tuple[str, float]]:
-        """(language, proportion) of a text, the largest first; empty if it has no letter."""
+    def judge(self, text: str | None, penalty: float = PENALTY) -> tuple[list[tuple[str, float]], float]:
+        """(language, proportion) of a text, the largest first, and the probability of that language: its proportion, or
+        if it is the only one its posterior among all, equally likely before. Without any letter no language and 0."""
         if not text or not self.langs or not _LETTER.search(text):
-            return []
-        bins, counts = np.unique(gram_bins(text) >> (BITS - (len(self.probs).bit_length() - 1)), return_counts=True)
+            return [], 0.0
+        bins, counts = np.unique(gram_bins(text), return_counts=True)
         if not len(bins):
-            return [(self.langs[0], 1.0)]
+            return [(self.langs[0], 1.0)], 1 / len(self.langs)
         probs, counts = self.probs[bins], counts.astype(np.float64)
         alone = counts @ np.log(probs)
         order = [int(np.argmax(alone))]
@@ -107,33 +109,41 @@ class LanguageModel:
             if likelihood - cost <= best:
                 break
             best, chosen = likelihood - cost, list(zip(order[:k], share.tolist(), strict=True))
-        return [(self.langs[i], p) for i, p in sorted(chosen, key=lambda x: (-x[1], x[0]))]
+        chosen.sort(key=lambda x: (-x[1], x[0]))
+        sure = chosen[0][1] if len(chosen) > 1 else 1 / float(np.exp(alone - alone[order[0]]).sum())
+        return [(self.langs[i], p) for i, p in chosen], min(sure, 1.0)
+
+    def languages(self, text: str | None, penalty: float = PENALTY) -> list[tuple[str, float]]:
+        """(language, proportion) of a text, the largest first; empty if it has no letter."""
+        return self.judge(text, penalty)[0]
 
     def predict(self, spark: SparkSession, text: Column) -> Column:
-        """A column of (lang, proportion) arrays."""
+        """A column of found, an array of (lang, proportion), and sure, the probability of the first one."""
         shared = spark.sparkContext.broadcast((self.langs, self.probs.astype(np.float32)))
         kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
         made = []
 
-        @F.arrow_udf("array<struct<lang:string,share:double>>")
+        @F.arrow_udf("struct<found:array<struct<lang:string,share:double>>,sure:double>")
         def predicted(texts: pa.Array) -> pa.Array:
             if not made:
                 made.append(LanguageModel(*shared.value))
-            return pa.array([[{"lang": a, "share": b} for a, b in made[0].languages(t.as_py())] for t in texts], kind)
+            told = [made[0].judge(t.as_py()) for t in texts]
+            found = pa.array([[{"lang": a, "share": b} for a, b in langs] for langs, _ in told], kind)
+            return pa.StructArray.from_arrays([found, pa.array([sure for _, sure in told], pa.float64())], ["found", "sure"])
 
         return predicted(text)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The main language of every whole document and its proportion."""
+    """The main language of every whole document, and its proportion or, if it is the only one, its probability."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold(F.col("doc_id"), FOLDS) == 2
     model = LanguageModel.fit(docs.where(~held_out))
-    found = docs.select("doc_id", held_out.alias("held_out"), model.predict(spark, F.col("text")).alias("found"))
+    found = docs.select("doc_id", held_out.alias("held_out"), model.predict(spark, F.col("text")).alias("p")).select("doc_id", "held_out", "p.*")
     first = F.get("found", F.lit(0))
     return found.select(
         "doc_id", "held_out",
         F.coalesce(first["lang"], F.lit("und")).alias("lang_pred"),
-        F.least(F.coalesce(first["share"], F.lit(0.0)), F.lit(1.0)).alias("score"),
+        F.col("sure").alias("score"),
         F.array_join(F.transform("found", lambda x: x["lang"]), ",").alias("langs"),
     )
