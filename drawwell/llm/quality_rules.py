@@ -8,7 +8,7 @@ measures are made inside its own row: only one row per language is shuffled.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null or rare language (fewer than
 MIN_REFERENCE_WORDS words in all) is compared with the pool of all documents; repeated rows are judged one by one;
-an empty table gives an empty result. 3-word windows are compared by a 64-bit hash within one document.
+an empty table gives an empty result; other columns play no part. 3-word windows are compared by their words.
 """
 
 from __future__ import annotations
@@ -43,35 +43,48 @@ MAX_WORD_DISTANCE = 0.45
 MAX_BROADCAST_LANGUAGES = 10_000
 
 
-#: Words up to which a window's hash and its place share one long.
+#: Words up to which 48 bits of a window's hash and its place share one long.
 PACKED_WORDS = 1 << 16
 
 
-def repeated_window_words(words: Column, width: int = 3) -> Column:
+def repeated_window_words(words: Column, width: int = 3, hashed=F.xxhash64) -> Column:
     """Words that lie in a window of `width` words found twice or more in the same array of words.
 
     Windows are sorted by hash, so that equal ones are neighbours; then by place, to add up what they cover. In all but
-    very long texts the place stands in the last bits of the hash, since longs sort much faster than structs do.
+    very long texts the place stands in the last bits of the hash, since longs sort much faster than structs do. Hashes
+    only find candidates: neighbours of one hash are compared word by word, and if any two differ, all windows of the
+    text are sorted by their words instead.
     """
 
     def windows(w: Column) -> Column:
         return F.slice(w, 1, F.greatest(F.size(w) - (width - 1), F.lit(0)))
 
-    def hashed(w: Column, x: Column, i: Column) -> Column:
-        return F.xxhash64(x, *(w[i + j] for j in range(1, width)))
+    def hash_of(w: Column, x: Column, i: Column) -> Column:
+        return hashed(x, *(w[i + j] for j in range(1, width)))
 
     def neighbours(s: Column, key) -> Column:
         return F.filter(s, lambda x, i: key(F.get(s, i + 1)).eqNullSafe(key(x)) | key(F.get(s, i - 1)).eqNullSafe(key(x)))
 
+    def by_words(w: Column) -> Column:
+        whole = lambda x, i: F.struct(F.array(x, *(w[i + j] for j in range(1, width))).alias("h"), i.alias("i"))
+        structs = F.array_sort(F.transform(windows(w), whole))
+        return F.transform(let(structs, lambda s: neighbours(s, lambda x: x["h"])), lambda x: x["i"])
+
+    def checked(w: Column, found: Column, key, place) -> Column:
+        """Places of the windows found, if those of one key have the same words."""
+        differ = lambda i, j: ~F.array(*(w[i + k] == w[j + k] for k in range(width))).eqNullSafe(F.array(*[F.lit(True)] * width))
+        collide = lambda s: F.filter(s, lambda x, i: key(F.get(s, i + 1)).eqNullSafe(key(x)) & differ(place(x), place(F.get(s, i + 1))))
+        return let(found, lambda s: F.when(F.size(collide(s)) == 0, F.transform(s, place)).otherwise(by_words(w)))
+
     def packed(w: Column) -> Column:
         mask = F.lit(PACKED_WORDS - 1).cast("long")
-        longs = F.sort_array(F.transform(windows(w), lambda x, i: hashed(w, x, i).bitwiseAND(F.lit(-PACKED_WORDS).cast("long")).bitwiseOR(i.cast("long"))))
-        found = let(longs, lambda s: neighbours(s, lambda x: F.shiftright(x, 16)))
-        return F.transform(found, lambda x: x.bitwiseAND(mask).cast("int"))
+        longs = F.sort_array(F.transform(windows(w), lambda x, i: hash_of(w, x, i).bitwiseAND(F.lit(-PACKED_WORDS).cast("long")).bitwiseOR(i.cast("long"))))
+        key = lambda x: F.shiftright(x, 16)
+        return checked(w, let(longs, lambda s: neighbours(s, key)), key, lambda x: x.bitwiseAND(mask).cast("int"))
 
     def paired(w: Column) -> Column:
-        structs = F.array_sort(F.transform(windows(w), lambda x, i: F.struct(hashed(w, x, i).alias("h"), i.alias("i"))))
-        return F.transform(let(structs, lambda s: neighbours(s, lambda x: x["h"])), lambda x: x["i"])
+        structs = F.array_sort(F.transform(windows(w), lambda x, i: F.struct(hash_of(w, x, i).alias("h"), i.alias("i"))))
+        return checked(w, let(structs, lambda s: neighbours(s, lambda x: x["h"])), lambda x: x["h"], lambda x: x["i"])
 
     def covered(at: Column) -> Column:
         # each window adds what the one before it doesn't cover
