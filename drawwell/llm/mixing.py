@@ -35,6 +35,9 @@ SEED = 42
 #: Documents that share one running sum on average, and the least number of such groups in a source.
 BUCKET_DOCS = 20_000
 MIN_BUCKETS = 64
+#: Shards whose counts share one running sum, and slots that are numbered in one task.
+BUCKET_SHARDS = 4096
+TASK_SLOTS = 1 << 16
 #: Sources beyond which their table is joined by a shuffle instead of a broadcast (about 100 bytes each).
 MAX_BROADCAST_SOURCES = 100_000
 
@@ -84,6 +87,19 @@ def source_targets(placed: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     return first.select("source", "source_size", "weight", target.cast("double").alias("target"))
 
 
+def running_before(df: DataFrame, group: str, order: str, value: str, name: str, width: int = BUCKET_SHARDS) -> DataFrame:
+    """df with the sum of value over the rows of the group that come before in the order (a long that doesn't repeat in
+    a group). Sums run inside stretches of `width` of the order and then over the stretches, so no task gets a whole group."""
+    cut = df.withColumn("__stretch", F.expr(f"{order} div {width}L"))
+    inner = Window.partitionBy(group, "__stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy("__group").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(F.col(group).alias("__group"), F.col("__stretch").alias("__at")).agg(F.sum(value).alias("__sum"))
+    sums = sums.select("__group", "__at", F.coalesce(F.sum("__sum").over(outer), F.lit(0)).alias("__before"))
+    own = cut.withColumn(name, F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    joined = own.join(sums, (F.col(group) == F.col("__group")) & (F.col("__stretch") == F.col("__at")))
+    return joined.withColumn(name, F.col(name) + F.col("__before")).select(*df.columns, name)
+
+
 def _random(*parts: Column | int) -> Column:
     """A pseudorandom long from 0 below 2**52."""
     return F.shiftrightunsigned(F.xxhash64(*(F.lit(p).cast("long") if isinstance(p, int) else p for p in parts)), 12)
@@ -141,8 +157,7 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: in
     drawn = drawn.select(F.expr(f"id div {shard_slots}L").alias("shard"), (F.col("id") % shard_slots).alias("slot"), "code", "quota")
 
     counts = drawn.groupBy("shard", "code", "quota").agg(F.count("*").alias("n"))
-    running = Window.partitionBy("code").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = stored(counts.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0))), "mix-counts")
+    counts = stored(running_before(counts, "code", "shard", "n", "before"), "mix-counts")
 
     # Slots past a source's quota, numbered over all sources, go to the places that fell short, numbered likewise.
     over = F.greatest(F.col("before") + F.col("n") - F.col("quota"), F.lit(0)) - F.greatest(F.col("before") - F.col("quota"), F.lit(0))
@@ -153,8 +168,7 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: in
     spare = counts.select("code", "shard", over.alias("over")).where("over > 0")
     by_code = spare.groupBy("code").agg(F.sum("over").alias("code_over"))
     by_code = by_code.select("code", (F.sum("code_over").over(Window.orderBy("code")) - F.col("code_over")).alias("code_before"))
-    in_code = Window.partitionBy("code").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    spare = spare.withColumn("in_code", F.coalesce(F.sum("over").over(in_code), F.lit(0))).join(_small(by_code, n_sources), "code")
+    spare = running_before(spare, "code", "shard", "over", "in_code").join(_small(by_code, n_sources), "code")
     number = F.explode(F.sequence(F.lit(1).cast("long"), F.col("over")))
     spare = spare.select("shard", "code_before", "in_code", number.alias("i")).select("shard", (F.col("code_before") + F.col("in_code") + F.col("i") - 1).alias("number"))
     places = filled.select("code", F.posexplode(F.sequence(F.col("first"), F.col("first") + F.col("short") - 1)).alias("j", "k"), "short_lo")
@@ -162,7 +176,9 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: in
     moved = spare.join(places, "number").select("shard", "code", "k")
 
     own = F.least(F.col("n"), F.greatest(F.col("quota") - F.col("before"), F.lit(0)))
-    kept = counts.where(own > 0).select("shard", "code", F.explode(F.sequence(F.col("before"), F.col("before") + own - 1)).alias("k"))
+    # a row of counts makes up to shard_slots rows, so its bytes say nothing of the work
+    dealt = counts.repartition(max(1, min(total // TASK_SLOTS, 1 << 14)), "shard", "code")
+    kept = dealt.where(own > 0).select("shard", "code", F.explode(F.sequence(F.col("before"), F.col("before") + own - 1)).alias("k"))
     numbered = kept.unionByName(moved).join(_small(targets.select("code", "source", "n_blocks"), n_sources), "code")
     numbered = numbered.withColumn("pass", F.expr("k div n_blocks")).withColumn("key", F.col("code") * (epochs + 1) + F.col("pass"))
     slots = numbered.select("shard", "code", "source", "pass", "k", permuted(F.expr("k % n_blocks"), F.col("n_blocks"), F.col("key"), seed).alias("block"))
