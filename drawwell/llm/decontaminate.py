@@ -103,8 +103,8 @@ def shingle_filter(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
 
 
 def find_places(docs: DataFrame, cells: np.ndarray, widths: list[int], window: int = WINDOW) -> DataFrame:
-    """The columns of docs but text, row, n_words and the places of possible shingles of every row; the words around a
-    place are one string, apart by spaces, which no word holds."""
+    """doc_id, tie (a hash of the text), row, n_words and the places of possible shingles of every row; the words around
+    a place are one string, apart by spaces, which no word holds."""
     shared = docs.sparkSession.sparkContext.broadcast(cells)
     names = ["h", "width", "at", "first", "words"]
 
@@ -136,14 +136,13 @@ def find_places(docs: DataFrame, cells: np.ndarray, widths: list[int], window: i
         places = pa.StructArray.from_arrays([*numbers, pa.array(near, pa.binary()).cast(pa.string())], names)
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places)], ["n_words", "places"])
 
-    kept = [c for c in docs.columns if c != "text"]
-    out = docs.select(*kept, found("text").alias("found")).select(*kept, "found.n_words", "found.places")
+    out = docs.select("doc_id", F.xxhash64("text").alias("tie"), found("text").alias("found")).select("doc_id", "tie", "found.n_words", "found.places")
     # the id is written with the row, so it stays the same however often the table is read
     return stored(out.withColumn("row", F.monotonically_increasing_id()), "bench-places")
 
 
 def window_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(row, n_words, the columns of docs but text) of all docs, the hits (row, wid, start, size), and (wid, item)."""
+    """(row, doc_id, tie, n_words) of all docs (doc_id, text), the hits (row, wid, start, size), and (wid, item)."""
     windows, members = benchmark_windows(items, window, shingle)
     windows = stored(windows, "bench-sets")
     rows = find_places(docs, *shingle_filter(windows), window)
@@ -167,7 +166,8 @@ def window_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """n_words, n_hit, n_items, items (a sorted array), contaminated and the columns of docs but text, for every row."""
+    """doc_id, tie (a hash of the text), n_words, n_hit, n_items, items (a sorted array) and contaminated, for every row
+    of docs (doc_id, text)."""
     rows, hits, members = window_hits(docs, items)
     spans = hits.groupBy("row", "start").agg(F.max(F.col("start") + F.col("size")).alias("end"))
     before = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
@@ -177,7 +177,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = held.groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items")).join(words, "row")
     joined = rows.join(found, "row", "left")
     return joined.select(
-        *(c for c in docs.columns if c != "text"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        "doc_id", "tie", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.col("n_hit").isNotNull().alias("contaminated"),

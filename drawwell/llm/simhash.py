@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drawwell.llm.common import stored, table
+from drawwell.llm.common import stored, table, unused
 from drawwell.llm.components import connected_components
 
 SHINGLE = 4
@@ -172,37 +172,37 @@ def fingerprint_links(fps: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """fp, component_id, root (the same for all rows of a component, and for them alone) and the columns of docs but
-    text, for every row of docs (doc_id, text)."""
-    kept = [c for c in docs.columns if c != "text"]
-    marked = stored(docs.select(*kept, simhash("text").alias("fp")), "simhash")
+    """doc_id, tie (a hash of the text), fp, component_id and root (the same for all rows of a component, and for them
+    alone) for every row of docs (doc_id, text)."""
+    marked = stored(docs.select("doc_id", F.xxhash64("text").alias("tie"), simhash("text").alias("fp")), "simhash")
     fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fps")
     roots = stored(connected_components(fingerprint_links(fps.select("fp"))), "simhash-roots")
     named = fps.join(roots, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("least").alias("component"))
     linked = roots.join(named, "root").select("node", "root", "component")
     classes = fps.join(linked, F.col("fp") == F.col("node"), "left")
     classes = classes.select(F.col("fp").alias("own"), F.coalesce("component", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return marked.join(classes, F.col("fp") == F.col("own")).select(*kept, "fp", "component_id", "root")
+    return marked.join(classes, F.col("fp") == F.col("own")).select("doc_id", "tie", "fp", "component_id", "root")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of docs for each component of near-duplicates, with all its columns: the one with the least doc_id, then
     the least hash of its text. Rows repeated in full stay once."""
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    named = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    found = stored(near_duplicates(named), "simhash-rows")
+    found = stored(near_duplicates(docs), "simhash-rows")
+    own, tie = unused("__id", docs.columns), unused("__tie", docs.columns)
+    names = F.col("doc_id").alias(own), F.col("tie").alias(tie)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
     best = found.groupBy("root").agg(F.min(rank).alias("best"), F.count("*").alias("rows")).where("rows > 1")
     best = best.select(F.col("root").alias("own"), F.col("best.doc_id").alias("best_id"), F.col("best.tie").alias("best_tie"))
     beaten = found.join(best, F.col("root") == F.col("own")).where(~(same("doc_id", "best_id") & same("tie", "best_tie")))
-    beaten = stored(beaten.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).distinct(), "simhash-beaten")
+    beaten = stored(beaten.select(*names).distinct(), "simhash-beaten")
     text_hash = F.xxhash64("text")
-    left = docs.join(beaten, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash == F.col("__tie")), "left_anti")
-    twice = stored(found.groupBy("doc_id", "tie").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")), "simhash-twice")
+    again = F.col("doc_id").eqNullSafe(F.col(own)) & (text_hash == F.col(tie))
+    left = docs.join(beaten, again, "left_anti")
+    twice = stored(found.groupBy("doc_id", "tie").agg(F.count("*").alias("rows")).where("rows > 1").select(*names), "simhash-twice")
     if twice.isEmpty():
         return left
-    again = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash == F.col("__tie"))
-    once = left.join(twice, again, "left_semi").withColumn("__tie", text_hash).dropDuplicates(["doc_id", "__tie"]).drop("__tie")
+    once = left.join(twice, again, "left_semi").withColumn(tie, text_hash).dropDuplicates(["doc_id", tie]).drop(tie)
     return left.join(twice, again, "left_anti").unionByName(once)
 
 
