@@ -3,6 +3,13 @@
 Every stage but the last returns the columns of documents. Toxicity drops what it predicts as toxic; near-dedup keeps one
 document of each group; decontamination drops documents that hold a benchmark window; the secret scan keeps all documents
 and replaces each secret by [secret], with n_chars counted anew; mixing gives what the mix takes of each document.
+
+Defined cases: a null text is kept as long as its score of the model's bias is below 0.5, is a near-duplicate of all texts
+with fingerprint zero (empty ones among them), holds no benchmark window and no secret, and has size 0 in the mix; a text
+without secrets keeps its n_chars, null or not. Of near-duplicates the least doc_id stays (null last), of equal ids the
+least hash of the text; rows repeated in doc_id and text stay once. A document with another's doc_id and another text is
+judged on its own. Columns beside those of documents go along unchanged up to the mix, whatever their names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawwell.llm.common import stored, table
+from drawwell.llm.common import stored, table, unused
 from drawwell.llm.decontaminate import contamination
 from drawwell.llm.mixing import mix_sources
 from drawwell.llm.secret_scan import redact_secrets
@@ -20,8 +27,7 @@ from drawwell.llm.toxicity import fold_model
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fold_model(spark, docs, sf_dir)
-    scored = docs.withColumn("__score", model.score(spark, F.col("text")))
-    return scored.where("__score < 0.5").drop("__score")
+    return docs.where(model.score(spark, F.col("text")) < 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,17 +35,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    found = contamination(named, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    bad = stored(found.where("contaminated").select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tie")), "left_anti")
+    found = contamination(docs, table(spark, sf_dir, "benchmark"))
+    own, tie = unused("__id", docs.columns), unused("__tie", docs.columns)
+    bad = stored(found.where("contaminated").select(F.col("doc_id").alias(own), F.col("tie").alias(tie)).distinct(), "contaminated")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(tie)), "left_anti")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = docs.withColumn("__clean", redact_secrets("text"))
-    changed = ~F.col("text").eqNullSafe(F.col("__clean"))
-    counted = F.when(changed, F.char_length("__clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-    renewed = {"text": F.col("__clean").alias("text"), "n_chars": counted}
+    name = unused("__clean", docs.columns)
+    clean = docs.withColumn(name, redact_secrets("text"))
+    changed = ~F.col("text").eqNullSafe(F.col(name))
+    counted = F.when(changed, F.char_length(name).cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    renewed = {"text": F.col(name).alias("text"), "n_chars": counted}
     return clean.select(*(renewed.get(c, F.col(f"`{c}`")) for c in docs.columns))
 
 
