@@ -57,13 +57,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df written once to the shared folder and read back: its lineage ends there, and a lost executor costs
     no more than the tasks that it ran."""
     spark = df.sparkSession
     prepared(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

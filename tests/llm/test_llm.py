@@ -261,6 +261,33 @@ def test_suffix_dedup(docs, rows, empty):
     assert suffix_dedup.remove_repeats(empty.select("doc_id", "text")).count() == 0
 
 
+@pytest.mark.parametrize("threshold, part, out", [(20, 1 << 8, 40), (33, 1 << 20, 300), (7, 64, 5)])
+def test_suffix_dedup_batches(spark, monkeypatch, threshold, part, out):
+    """Odd thresholds, windows over the borders of parts, classes and anchors over the borders of batches."""
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", part)
+    monkeypatch.setattr(suffix_dedup, "_OUT", out)
+    rng = random.Random(threshold)
+    line = "".join(rng.choices("abc", k=threshold + 9))
+    data = ["".join(rng.choices("ab", k=rng.randint(0, 60))) + rng.choice(["", line, line[3:], line[:-4], line * 3]) + "".join(rng.choices("abcd", k=rng.randint(0, 400))) for _ in range(150)]
+    data += [data[3]] * 40 + ["a" * 300, None, "é" * 90, "é" * 70]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        frame = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").repartition(5)
+        got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in suffix_dedup.remove_repeats(frame, threshold).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    raw = [(t or "").encode() for t in data]
+    seen = Counter(b[i : i + threshold] for b in raw for i in range(len(b) - threshold + 1))
+    for i, b in enumerate(raw):
+        hit = np.zeros(len(b) + 2, np.int8)
+        for j in range(len(b) - threshold + 1):
+            if seen[b[j : j + threshold]] > 1:
+                hit[j + 1 : j + 1 + threshold] = 1
+        edges = np.flatnonzero(np.diff(hit)).tolist()
+        assert got[i] == list(zip(edges[::2], edges[1::2], strict=True))
+
+
 def test_token_counts(rows):
     tokenizers = pytest.importorskip("public_tokenizers")
     path = tokenizers.path("piece_bpe_32k.model")
