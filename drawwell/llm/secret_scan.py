@@ -1,12 +1,17 @@
 """Secret scans with structural confirmation.
 
 Pattern kinds (assign, access, hex) are reported as matched. Candidates for the other kinds are reported only after
-their structure holds: base64 or hex is decoded and must be a private key whose nested lengths all add up (der), an
-OpenSSH private key container (ssh), the armoured form of either (pem), or a signed token whose header and payload are
-JSON objects and whose header names an algorithm (jwt).
+their structure holds: a private key whose nested lengths all add up (der), an OpenSSH private key container (ssh), the
+armoured form of either or of an encrypted key (pem), or a signed token whose header and payload are JSON objects and
+whose header names an algorithm (jwt).
+
+Base64 and hex are tried wherever in a run of their characters a key can begin, so what stands before it ("conf/", "key-")
+doesn't hide it; the key's own length says where it ends. A run goes on over line breaks, escaped ones too. Keys are
+looked for up to KEY_BYTES bytes, the length that two length bytes can say; headers of tokens up to HEADER_CHARS.
 
 Defined cases: a null text counts as empty and has no spans; each row is scanned on its own, so repeated rows repeat
-their spans; whole texts are scanned whatever their length; other columns are left alone.
+their spans; of spans with one start the kinds come in the order of KINDS; keys inside an armoured one are not listed
+again; whole texts are scanned whatever their length; an empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -14,7 +19,9 @@ from __future__ import annotations
 import base64
 import binascii
 import json
+import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,10 +43,16 @@ def _either_case(word: str) -> str:
 ASSIGN = re.compile(rf"""({"|".join(map(_either_case, _KEYWORDS))})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: Runs that may hold encoded bytes. Any hex run is one as well.
-ENCODED = re.compile(r"[A-Za-z0-9+/_-]{48,}={0,2}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+KEY_BYTES = 1 << 16
+HEADER_CHARS = 1 << 13
+#: Runs that may hold encoded bytes, over several lines.
+RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:(?:[\x20\t]*\r?\n[\x20\t]*|(?:\\r)?\\n)[A-Za-z0-9+/_-]+)*={0,2}")
+BREAK = re.compile(r"[\x20\t]*\r?\n[\x20\t]*|(?:\\r)?\\n")
+#: Where a key can begin in a run: a DER sequence or the name of an OpenSSH key, in base64 or in hex.
+OPENING = re.compile(r"(?=(M[A-P])|(30[1-8])|(b3BlbnNzaC1rZXktdjEA)|(6[fF]70656[eE]7373682[dD]6[bB]65792[dD]763100))")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+ENCRYPTED = re.compile(r"\s*Proc-Type: 4,ENCRYPTED\s+DEK-Info: [A-Z0-9-]+,([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})\s")
 
 _SEQUENCE, _INTEGER, _OCTETS, _OID = 0x30, 0x02, 0x04, 0x06
 _OPENSSH = b"openssh-key-v1\x00"
@@ -76,8 +89,8 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_private_der(data: bytes) -> bool:
-    """A PKCS#1 or DSA key (version and at least five integers), PKCS#8 (version, algorithm, octets that hold a key,
-    or an encrypted key: algorithm, octets), or an EC key (version 1, octets)."""
+    """A PKCS#1 or DSA key (version and at least five integers), PKCS#8 (version, algorithm, octets that hold a key by
+    its own lengths, or an encrypted key: algorithm, octets in whole blocks), or an EC key (version 1, octets)."""
     outer = der_items(data)
     if not outer or len(outer) != 1 or outer[0][0] != _SEQUENCE or not (items := der_items(outer[0][1])):
         return False
@@ -87,33 +100,51 @@ def is_private_der(data: bytes) -> bool:
         if len(tags) >= 6 and set(tags[1:6]) == {_INTEGER} and min(len(c) for _, c in items[1:]) >= 1:
             return True
         if tags[1:3] == [_SEQUENCE, _OCTETS] and named(items[1][1]):
-            return len(items[2][1]) >= 16
+            return _is_key_body(items[2][1])
         return items[0][1] == b"\x01" and tags[1:2] == [_OCTETS] and 16 <= len(items[1][1]) <= 72 and {*tags[2:]} <= {0xA0, 0xA1}
-    return tags == [_SEQUENCE, _OCTETS] and named(items[0][1]) and len(items[1][1]) >= 16
+    whole = len(items) == 2 and len(items[1][1]) >= 16 and len(items[1][1]) % 8 == 0
+    return tags == [_SEQUENCE, _OCTETS] and named(items[0][1]) and len(der_items(items[0][1]) or ()) > 1 and whole
 
 
-def is_private_ssh(data: bytes) -> bool:
-    """An openssh-key-v1 container: cipher, kdf, options, a count of keys, public keys and the private block, each
-    with its own length, the last ending where data ends."""
-    if not data.startswith(_OPENSSH):
+def _is_key_body(data: bytes) -> bool:
+    """What the octets of a PKCS#8 key hold: one value, a sequence that starts with its version, or a string or number
+    of 16 bytes or more."""
+    inner = der_items(data)
+    if not inner or len(inner) != 1:
         return False
+    tag, content = inner[0]
+    if tag == _SEQUENCE:
+        items = der_items(content)
+        return bool(items) and len(items) > 1 and items[0][0] == _INTEGER and len(items[0][1]) == 1 and items[0][1][0] <= 1
+    return tag in (_OCTETS, _INTEGER) and len(content) >= 16
+
+
+def ssh_size(data: bytes) -> int | None:
+    """Bytes of the openssh-key-v1 container that data starts with: cipher, kdf, options, a count of keys, public keys
+    and the private block, each with its own length."""
+    if not data.startswith(_OPENSSH):
+        return None
     at = len(_OPENSSH)
 
-    def string() -> bytes | None:
+    def string() -> int | None:
         nonlocal at
         size = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + size > len(data):
             return None
         at += 4 + size
-        return data[at - size : at]
+        return size
 
     if any(string() is None for _ in range(3)) or at + 4 > len(data):
-        return False
+        return None
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
     if not 1 <= keys <= 16 or any(string() is None for _ in range(keys)):
-        return False
-    return bool(string()) and at == len(data)
+        return None
+    return at if string() else None
+
+
+def is_private_ssh(data: bytes) -> bool:
+    return ssh_size(data) == len(data)
 
 
 def is_signed_token(text: str) -> bool:
@@ -127,16 +158,95 @@ def is_signed_token(text: str) -> bool:
     return signature is not None and (header["alg"].lower() == "none" or len(signature) >= 16)
 
 
-def _confirm(text: str) -> str | None:
-    """The kind of key that an encoded run holds."""
-    for data in (bytes.fromhex(text) if len(text) % 2 == 0 and re.fullmatch("[0-9A-Fa-f]+", text) else None, decode_base64(text)):
-        if data and data[0] == _SEQUENCE and is_private_der(data):
-            return "der"
-        if data and is_private_ssh(data):
-            return "ssh"
+def _token_start(text: str) -> int | None:
+    """Where in a candidate's first part the header of a signed token starts: at its first character, or at a later one
+    that opens an object."""
+    head, rest = text.split(".", 1)
+    for at in [0, *(m.start() for m in re.finditer("e[wy]", head) if m.start())]:
+        if len(head) - at <= HEADER_CHARS and is_signed_token(f"{head[at:]}.{rest}"):
+            return at
     return None
 
 
+def _der_size(head: bytes) -> int | None:
+    """Bytes of the DER sequence that begins like this, if a version or an algorithm comes first in it."""
+    if len(head) < 6 or head[0] != _SEQUENCE:
+        return None
+    width = head[1] - 0x80 if head[1] >= 0x80 else 0
+    if width > 2 or head[1] == 0x80 or head[2 + width] not in (_INTEGER, _SEQUENCE):
+        return None
+    return 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
+
+
+def _key_at(run: str, at: int, hexadecimal: bool, ssh: bool) -> int | None:
+    """Where the key that begins at a place of a run ends."""
+    digits = 2 if hexadecimal else 4 / 3
+
+    def decoded(size: int) -> bytes:
+        part = run[at : at + size]
+        if not hexadecimal:
+            return decode_base64(part if len(part) % 4 != 1 else part[:-1]) or b""
+        part = part[: len(part) // 2 * 2]
+        return bytes.fromhex(part) if re.fullmatch("[0-9A-Fa-f]*", part) else b""
+
+    if ssh:
+        part = re.match("[0-9A-Fa-f]*", run[at : at + 2 * KEY_BYTES])[0] if hexadecimal else ""
+        size = ssh_size(decoded(len(part) if hexadecimal else 4 * KEY_BYTES // 3))
+    else:
+        size = _der_size(decoded(16))
+        if size is not None and not is_private_der(decoded(math.ceil(size * digits))[:size]):
+            size = None
+    end = None if size is None else at + math.ceil(size * digits)
+    return end if end is not None and end <= len(run) else None
+
+
+def encoded_keys(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the keys in base64 or hex."""
+    out = []
+    for m in RUN.finditer(text):
+        if m.end() - m.start() < 48:
+            continue
+        body, starts, places = m[0].rstrip("="), [0], [m.start()]
+        if "\n" in body or "\\" in body:  # lines put together, and where each one came from
+            lines, at, joined = [], 0, 0
+            for b in [*BREAK.finditer(body), None]:
+                lines.append(body[at : b.start() if b else None])
+                joined += len(lines[-1])
+                if b:
+                    at = b.end()
+                    starts.append(joined)
+                    places.append(m.start() + at)
+            body = "".join(lines)
+        where = lambda i: places[k := bisect_right(starts, i) - 1] + i - starts[k]  # noqa: E731, B023
+        done = 0
+        for c in OPENING.finditer(body):
+            kind = c.lastindex
+            if c.start() < done or (end := _key_at(body, c.start(), kind in (2, 4), kind > 2)) is None:
+                continue
+            done = end
+            close = where(end - 1) + 1
+            if end == len(body) and kind in (1, 3):
+                close = m.end()
+            out.append(("ssh" if kind > 2 else "der", where(c.start()), close))
+    return out
+
+
+def armoured_keys(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of armoured keys; the closing line is looked for as far as a key of KEY_BYTES reaches."""
+    out = []
+    for m in BEGIN.finditer(text):
+        close = f"-----END {m[1]}-----"
+        end = text.find(close, m.end(), m.end() + 2 * KEY_BYTES)
+        if end < 0 or (out and m.start() < out[-1][2]):
+            continue
+        body = re.sub(r"\\[rn]", "\n", text[m.end() : end])
+        sealed = ENCRYPTED.match(body)
+        data = decode_base64(re.sub(r"\s+", "", body[sealed.end() if sealed else 0 :]))
+        if data and (len(data) % (len(sealed[1]) // 2) == 0 if sealed else is_private_der(data) or is_private_ssh(data)):
+            out.append(("pem", m.start(), end + len(close)))
+    return out
+
+
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive, by start, then in the order of KINDS."""
     if not text:
@@ -144,16 +254,13 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     out = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     out += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    for m in ENCODED.finditer(text):
-        if kind := _confirm(m[0]):
-            out.append((kind, m.start(), m.end()))
-    if "ey" in text and "." in text:
-        out += [("jwt", m.start(), m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
-    if "-----BEGIN " in text:
-        for m in ARMOUR.finditer(text):
-            data = decode_base64(re.sub(r"\s+", "", m[2]))
-            if data and (is_private_der(data) or is_private_ssh(data)):
-                out.append(("pem", m.start(), m.end()))
+    armoured = armoured_keys(text) if "-----BEGIN " in text else []
+    out += armoured
+    out += [k for k in encoded_keys(text) if not any(a <= k[1] and k[2] <= b for _, a, b in armoured)]
+    if "." in text:
+        for m in TOKEN.finditer(text):
+            if (at := _token_start(m[0])) is not None:
+                out.append(("jwt", m.start() + at, m.end()))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
