@@ -11,6 +11,11 @@ def metadata_json(names: list[str]) -> Column:
     return F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(names))), {"ignoreNullFields": "false"})
 
 
+def metadata_columns(text: Column, schema: str) -> Column:
+    """The way back from metadata_json: a struct of the fields that a schema like "a bigint, b string" names."""
+    return F.from_json(text, schema)
+
+
 def record_length(names: list[str], payload: str = "payload") -> Column:
     """8 bytes of length, the metadata as JSON, and the payload."""
     return (F.lit(8) + F.octet_length(metadata_json(names)) + F.octet_length(payload)).cast("long")

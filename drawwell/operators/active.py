@@ -16,7 +16,7 @@ _IDS, _WEIGHTS = ("bigint", "int"), ("double", "float", "bigint", "int")
 def dense_index(df: DataFrame, keys: list, name: str = POS) -> DataFrame:
     """df with a column 0 .. n-1 in the order of keys: a range partitioning, ids inside partitions, and the partitions'
     offsets. The ids are written before they are counted, so they can't change."""
-    order = [F.col(k) if isinstance(k, str) else k for k in keys]
+    order = [F.col(f"`{k}`") if isinstance(k, str) else k for k in keys]
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
     rows = snapshot(rows, "dense")
     part = F.shiftright("__id", 33)
@@ -27,7 +27,7 @@ def dense_index(df: DataFrame, keys: list, name: str = POS) -> DataFrame:
         total += n
     table = F.broadcast(df.sparkSession.createDataFrame(offsets or [(0, 0)], "__p long, __offset long"))
     position = (F.col("__offset") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).alias(name)
-    return rows.withColumn("__p", part).join(table, "__p").select(*df.columns, position)
+    return rows.withColumn("__p", part).join(table, "__p").select(*(f"`{c}`" for c in df.columns), position)
 
 
 def active_table(caches: list[DataFrame], names: list[str]) -> DataFrame:
@@ -58,12 +58,12 @@ def head(table: DataFrame, n: int) -> DataFrame:
 
 
 def tail(table: DataFrame, n: int) -> DataFrame:
-    return table.orderBy(F.desc(POS)).limit(n)
+    return table.orderBy(F.desc(POS)).limit(n).orderBy(POS)
 
 
 def class_balanced(table: DataFrame, label: str) -> DataFrame:
     """Weights of one over the size of a row's class."""
-    counts = table.groupBy(label).agg(F.count("*").alias("__n")).withColumnRenamed(label, "__label")
+    counts = table.groupBy(label).agg(F.count("*").alias("__n")).withColumnRenamed(label, "__label")  # AQE broadcasts few labels
     joined = table.join(counts, F.col(label).eqNullSafe(F.col("__label")))
     return joined.withColumn("weight", 1.0 / F.col("__n")).drop("__n", "__label")
 
@@ -125,9 +125,25 @@ def validate(table: DataFrame, stored: T.StructType, counts: DataFrame) -> None:
         raise InvalidInput(f"weight {r['first_bad_weight']} must be positive and finite")
 
 
+def sorted_at_top(table: DataFrame) -> bool:
+    """Whether the rows come in a global order that the table was given last."""
+    node = table._jdf.queryExecution().analyzed()
+    while (kind := node.getClass().getSimpleName()) in ("Project", "Filter", "GlobalLimit", "LocalLimit", "SubqueryAlias"):
+        node = node.child()
+    return kind == "Sort" and getattr(node, "global")()
+
+
+def positions_repeat(table: DataFrame) -> bool:
+    return not table.groupBy(POS).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
 def ordered(table: DataFrame, order_by: list | None = None) -> DataFrame:
-    """table with dense positions: by order_by, else by the positions it has, else by identity. Ties go by weight, then
-    by a hash of the row, so the result doesn't depend on partitions."""
+    """table with dense positions: by order_by, else by the order that the table was sorted in last, else by the
+    positions it has, else by identity. Ties go by weight, then by a hash of the row, so the result doesn't depend on
+    partitions."""
+    if not order_by and sorted_at_top(table):
+        # partitions of a sorted table follow each other, and so do these ids
+        return dense_index(table.withColumn("__row", F.monotonically_increasing_id()).drop(POS), ["__row"]).drop("__row")
     keys = list(order_by or ([POS] if POS in table.columns else ["cache_id", "sample_id"]))
     rest = [c for c in table.columns if c != POS]
     ties = ["weight", F.xxhash64(*(F.col(f"`{c}`") for c in rest))]

@@ -8,16 +8,17 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawwell.functions.layout import assign_shards, index_entries, record_length, shard_name
+from drawwell.functions.layout import assign_shards, index_entries, metadata_columns, metadata_json, record_length, shard_name
 from drawwell.operators import active as A
 from drawwell.operators import sampling
-from drawwell.sources.cache import mismatched, record_hash, write_cache
+from drawwell.sources.cache import load_cache, mismatched, record_hash, write_cache
 from drawwell.sources.inputs import FrameSource
 from drawwell.sources.shared import shared_dir
-from drawwell.types import ReaderConfig
+from drawwell.types import ReaderConfig, WriterConfig
 
 META = ["doc_id", "lang", "n_chars", "source"]
 SEED = 42
+QUIET = WriterConfig(show_progress=False)
 SHARD_BYTES = 1 << 18
 COLUMNS = ["cache_id", "sample_id", *META, "weight", A.POS]
 
@@ -27,12 +28,14 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "lang", "n_chars", "source", F.col("text").cast("binary").alias("payload"))
 
 
-def _samples(spark, sf_dir) -> DataFrame:
-    return A.dense_index(_docs(spark, sf_dir), ["doc_id"], "sample_id")
+def _samples(spark, sf_dir, *columns) -> DataFrame:
+    """Rows with ids in the order of doc_id. What queries need of a payload is made first, so no payload is sorted."""
+    docs = _docs(spark, sf_dir).select(*META, *columns)
+    return A.dense_index(docs, ["doc_id", *(c for c in META if c != "doc_id")], "sample_id")
 
 
 def _single(spark, sf_dir) -> DataFrame:
-    return A.active_table([_samples(spark, sf_dir).drop("payload")], META)
+    return A.active_table([_samples(spark, sf_dir)], META)
 
 
 def _by_lang(spark, sf_dir) -> list[DataFrame]:
@@ -162,7 +165,7 @@ def locate_physical(spark, sf_dir):
 
 
 def record_lengths(spark, sf_dir):
-    return _samples(spark, sf_dir).select("sample_id", record_length(META).alias("byte_len"))
+    return _samples(spark, sf_dir, record_length(META).alias("byte_len")).select("sample_id", "byte_len")
 
 
 def shard_assignment(spark, sf_dir):
@@ -178,7 +181,7 @@ def shard_summary(spark, sf_dir):
 
 
 def payload_sha256(spark, sf_dir):
-    return _samples(spark, sf_dir).select("sample_id", F.sha2("payload", 256).alias("payload_sha256"))
+    return _samples(spark, sf_dir, F.sha2("payload", 256).alias("payload_sha256")).select("sample_id", "payload_sha256")
 
 
 def manifest_summary(spark, sf_dir):
@@ -198,7 +201,7 @@ def _fresh(spark) -> str:
 def _dataset(spark, sf_dir, shuffle: bool):
     from drawwell.runtime import CachedDataset
 
-    done = write_cache(spark, FrameSource("documents", _docs(spark, sf_dir), ("doc_id",)), _fresh(spark))
+    done = write_cache(spark, FrameSource("documents", _docs(spark, sf_dir), ("doc_id",)), _fresh(spark), QUIET)
     return CachedDataset(spark, [done.path], ReaderConfig(seed=SEED, shuffle=shuffle))
 
 
@@ -239,10 +242,31 @@ def reject_bad_weights(spark, sf_dir):
 
 
 def embedded_mismatch(spark, sf_dir):
-    rows = _samples(spark, sf_dir).withColumn("record_sha256", record_hash(META))
+    rows = _samples(spark, sf_dir, "payload").withColumn("record_sha256", record_hash(META))
     return mismatched(rows.withColumn("lang", F.when(F.col("sample_id") == 5, F.lit("xx")).otherwise(F.col("lang"))), META).select("sample_id")
 
 
+def embedded_mismatches(spark, sf_dir):
+    """Rows of a written cache whose metadata was altered, found by the hashes stored with them."""
+    done = write_cache(spark, FrameSource("documents", _docs(spark, sf_dir), ("doc_id",)), _fresh(spark), QUIET)
+    _, rows = load_cache(spark, done.path)
+    altered = F.when(F.col("sample_id") % 7 == 5, F.concat("lang", F.lit("x"))).otherwise(F.col("lang"))
+    return mismatched(rows.withColumn("lang", altered), META).select("sample_id")
+
+
+def sorted_order(spark, sf_dir):
+    """An active table that was only sorted emits in that order."""
+    data = _dataset(spark, sf_dir, False)
+    data.update_metadata(data.get_metadata().orderBy(F.desc("n_chars"), "doc_id"))
+    return data.window().select("seq", "sample_id", *META)
+
+
+def metadata_json_round_trip(spark, sf_dir):
+    text = _docs(spark, sf_dir).select("doc_id", metadata_json(META).alias("json"))
+    back = metadata_columns(F.col("json"), "doc_id bigint, lang string, n_chars bigint, source string")
+    return text.select(F.col("doc_id").alias("id"), back.alias("m")).select("id", "m.*")
+
+
 def schema_agreement(spark, sf_dir):
     base, pages = _fresh(spark), spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.col("html").cast("binary").alias("payload"))
     done = write_cache(spark, [FrameSource("documents", _docs(spark, sf_dir), ("doc_id",)), FrameSource("pages", pages, ("page_id",))], base)
@@ -277,6 +301,7 @@ QUERIES = {f.__name__: f for f in (
     draw_histogram, cache_offsets, locate_physical, record_lengths, shard_assignment, index_table, shard_summary,
     payload_sha256, manifest_summary, materialise_samples, materialise_weighted, reject_unknown_identity,
     reject_null_or_negative_ids, reject_bad_weights, embedded_mismatch, schema_agreement,
+    embedded_mismatches, sorted_order, metadata_json_round_trip,
     write_results_partial_failure, embeddings_round_trip,
 )} | {
     "sequential_window": _window(10, 50), "sequential_wrap": _window(70, 60, 100),
@@ -360,4 +385,10 @@ ORACLES = {
     "reject_null_or_negative_ids": f"{_PLANT} SELECT count(*) AS n_rows, count(*) FILTER (cache_id IS NULL) AS cache_id_null, count(*) FILTER (sample_id IS NULL) AS sample_id_null, count(*) FILTER (cache_id < 0) AS cache_id_negative, count(*) FILTER (sample_id < 0) AS sample_id_negative FROM X",
     "reject_bad_weights": f"{_PLANT}, Y AS (SELECT *, weight <= 0 OR isnan(weight) OR isinf(weight) AS bad FROM X) SELECT count(*) FILTER (weight IS NULL) AS weight_null, count(*) FILTER (bad) AS weight_bad, min(active_pos) FILTER (bad) AS first_bad_weight FROM Y",
     "embedded_mismatch": "SELECT CAST(5 AS BIGINT) AS sample_id",
+    "embedded_mismatches": f"WITH {_D} SELECT sample_id FROM D WHERE sample_id % 7 = 5",
+    "sorted_order": f"WITH {_D} SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS seq, sample_id, doc_id, lang, n_chars, source FROM D",
+    "metadata_json_round_trip": "SELECT doc_id AS id, doc_id, lang, n_chars, source FROM documents",
+    "schema_agreement": "SELECT CASE WHEN count(*) > 0 THEN 'all caches must share the same metadata schema' ELSE 'agreed' END AS message FROM (SELECT column_name FROM (DESCRIBE documents) EXCEPT SELECT column_name FROM (DESCRIBE pages))",
+    "write_results_partial_failure": "SELECT 'bad' AS source_name, count(*) = 0 AS written FROM documents UNION ALL SELECT 'good', count(*) > 0 FROM documents",
+    "embeddings_round_trip": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS sample_id, vec_id, CAST(label AS BIGINT) AS label, CAST(len(embedding) AS INTEGER) AS n_values FROM embeddings",
 }

@@ -2,16 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from drawwell.operators import active as A
 from drawwell.operators import sampling
 from drawwell.sources.cache import load_cache, write_cache
 from drawwell.streaming.cursor import Cursor
-from drawwell.types import CachedSample, CacheWriteError, CacheWriteSuccess, InvalidInput, ReaderConfig, WriterConfig
+from drawwell.types import (
+    CachedSample, CacheSourcesDatasetError, CacheSourcesDatasetSuccess, CacheWriteError, CacheWriteSuccess, InvalidInput, ReaderConfig, WriterConfig,
+)
+
+#: Windows of so many samples at most are looked up by their ids, which are pushed down to the files.
+PRUNED_SAMPLES = 4096
+#: Samples that an iterator fetches at once at least.
+LEAST_FETCHED = 1024
+
+
+def decode_payloads(samples: DataFrame, decode: Callable[[bytes], object], kind: str, name: str = "decoded") -> DataFrame:
+    """samples with a column of what decode makes of each payload, as a Spark type; a null payload stays null. Payloads
+    go to Python in Arrow batches."""
+    schema = T.StructType([*samples.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
+    arrow = samples.sparkSession.createDataFrame([], schema).select(name).toArrow().schema.field(0).type
+
+    def decoded(batches):
+        for batch in batches:
+            values = [None if x is None else decode(x) for x in batch.column("payload").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, arrow)], [*batch.schema.names, name])
+
+    return samples.mapInArrow(decoded, schema)
 
 
 class CachedDataset:
@@ -49,9 +74,12 @@ class CachedDataset:
         return self._active if include_pos else self._active.orderBy(A.POS).drop(A.POS)
 
     def update_metadata(self, table: DataFrame, order_by: list | None = None) -> None:
-        """Replace the active table as a whole, or raise and change nothing. Extra columns stay. Sorting and
-        concatenation need order_by; else active_pos decides if it is still there, and identities if not."""
+        """Replace the active table as a whole, or raise and change nothing. Extra columns stay. The order is order_by's,
+        else that of a sort that came last, else active_pos, or identities if that is gone. Tables put together repeat
+        positions, so they need order_by, or operators.active.concat."""
         A.check_schema(table, self._stored)
+        if not order_by and A.POS in table.columns and not A.sorted_at_top(table) and A.positions_repeat(table):
+            raise InvalidInput("positions repeat: give order_by, or put tables together with concat")
         fresh = A.ordered(table, order_by)
         counts = self.spark.createDataFrame(list(enumerate(self.counts)), "cache long, n long")
         A.validate(fresh, self._stored, counts)
@@ -75,16 +103,34 @@ class CachedDataset:
 
     def _emit(self, start: int, length: int) -> DataFrame:
         rows = self.plan(start, length).join(self._active.select(A.POS, "cache_id", "sample_id"), A.POS)
+        rows = rows.select("seq", "cache_id", "sample_id")
         found = self.samples.select("cache_id", "sample_id", *(f"`{c}`" for c in self.names), "payload")
-        return rows.select("seq", "cache_id", "sample_id").join(found, ["cache_id", "sample_id"])
+        if length <= PRUNED_SAMPLES:
+            picked = rows.collect()  # at most PRUNED_SAMPLES rows
+            ids = sorted({r["sample_id"] for r in picked})
+            rows = F.broadcast(self.spark.createDataFrame(picked, "seq long, cache_id long, sample_id long"))
+            found = found.where(F.col("cache_id").isin(sorted({r["cache_id"] for r in picked})))
+            found = found.where(F.col("sample_id").between(ids[0], ids[-1]) & F.col("sample_id").isin(ids)) if ids else found
+        return rows.join(found, ["cache_id", "sample_id"])
 
     def __iter__(self) -> Iterator[CachedSample]:
-        rows = self.window().orderBy("seq")
-        names = self.names
+        """The next window, a part of it at a time; closing the iterator cancels what it still has running."""
+        rows = self.window()
+        parts = math.ceil(len(self) / max(self.config.prefetch, LEAST_FETCHED))
+        rows = rows.repartitionByRange(parts, "seq").sortWithinPartitions("seq") if parts > 1 else rows.coalesce(1).sortWithinPartitions("seq")
+        names, context, tag = self.names, self.spark.sparkContext, f"drawwell-{uuid.uuid4().hex}"
 
         def samples():
-            for r in rows.toLocalIterator(prefetchPartitions=True):
-                yield CachedSample(bytes(r["payload"]), {c: r[c] for c in names}, r["cache_id"], r["sample_id"])
+            context.addJobTag(tag)
+            try:
+                fetched = rows.toLocalIterator(prefetchPartitions=True)
+            finally:
+                context.removeJobTag(tag)
+            try:
+                for r in fetched:
+                    yield CachedSample(bytes(r["payload"]), {c: r[c] for c in names}, r["cache_id"], r["sample_id"])
+            finally:
+                context.cancelJobsWithTag(tag)
 
         return samples()
 
@@ -107,7 +153,7 @@ class CachedDataset:
 
 
 class DatasetRuntime:
-    """Owner of a session. num_workers is a hint for the number of partitions."""
+    """Owner of a session. num_workers is how many sources are written at a time."""
 
     def __init__(self, num_workers: int, spark: SparkSession | None = None):
         if not isinstance(num_workers, int) or num_workers <= 0:
@@ -115,17 +161,18 @@ class DatasetRuntime:
         self.num_workers = num_workers
         self.spark = spark or SparkSession.builder.getOrCreate()
 
-    def write_cache(self, sources, path: str, config: WriterConfig | None = None):
-        return write_cache(self.spark, sources, path, config)
+    def write_cache(self, sources, path: str, config: WriterConfig | None = None) -> list[CacheWriteSuccess | CacheWriteError]:
+        """Write one source or several; a result for each, in the order given."""
+        done = write_cache(self.spark, sources, path, config, self.num_workers)
+        return done if isinstance(done, list) else [done]
 
     def cached_dataset(self, paths, config: ReaderConfig) -> CachedDataset:
         return CachedDataset(self.spark, [paths] if isinstance(paths, str) else list(paths), config)
 
-    def from_cache_sources(self, sources: list, path: str, reader: ReaderConfig, writer: WriterConfig | None = None) -> tuple[CachedDataset, list[CacheWriteError]]:
-        """A dataset of all sources that could be written or were there, and the errors of the others."""
+    def from_cache_sources(self, sources: list, path: str, reader: ReaderConfig, writer: WriterConfig | None = None) -> CacheSourcesDatasetSuccess | CacheSourcesDatasetError:
+        """A dataset of all sources that could be written or were there, with the results of all."""
         results = self.write_cache(list(sources), path, writer)
         good = [r for r in results if isinstance(r, CacheWriteSuccess)]
-        bad = [r for r in results if isinstance(r, CacheWriteError)]
         if not good:
-            raise InvalidInput("; ".join(f"{r.source_name}: {r.message}" for r in bad))
-        return self.cached_dataset([r.path for r in good], reader), bad
+            return CacheSourcesDatasetError(results, "; ".join(f"{r.source_name}: {r.message}" for r in results) or "no sources")
+        return CacheSourcesDatasetSuccess(self.cached_dataset([r.path for r in good], reader), results)

@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 
 from drawwell.types import InvalidInput
 
-RESERVED = ("cache_id", "sample_id", "weight", "active_pos", "payload", "payload_sha256", "record_sha256", "shard_id")
+RESERVED = ("cache_id", "sample_id", "weight", "active_pos", "payload", "payload_sha256", "record_sha256", "shard_id", "byte_len")
 KINDS = {"boolean": "bool", "bigint": "int", "double": "float", "string": "string"}
-_CHUNK = 4096
+#: Samples, and bytes of payload, that the driver holds of an iterable before it writes them; samples per unit of prefetch.
+_CHUNK, _CHUNK_BYTES = 1024, 64 << 20
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,7 @@ def check_schema(schema: T.StructType) -> list[str]:
     if not names:
         raise InvalidInput("metadata must have at least one field")
     for c in names:
-        if c in RESERVED:
+        if c in RESERVED or c.startswith("__") or "`" in c:
             raise InvalidInput(f"metadata field '{c}' is reserved")
         if schema[c].dataType.simpleString() not in KINDS:
             raise InvalidInput(f"metadata field '{c}' must be bool, int, float or string")
@@ -70,41 +71,42 @@ def _row(item) -> tuple[bytes, dict]:
     return bytes(data), dict(metadata)
 
 
-def frame_of(spark: SparkSession, items: Iterable) -> DataFrame | None:
-    """A frame with column __seq of what an iterable yields, in bounded chunks; None if it yields nothing.
+def frame_of(spark: SparkSession, items: Iterable, staged: str, prefetch: int = 64) -> DataFrame | None:
+    """A frame with column __seq of what an iterable yields; None if it yields nothing. Full chunks are written to the
+    staging folder, so the driver holds one at a time; an iterable of less than a chunk is never written.
 
     The first sample fixes the names and kinds of the metadata; there is no widening.
     """
     kinds: dict[str, str] | None = None
-    parts, rows, seq = [], [], 0
+    rows, seq, size, written, schema = [], 0, 0, False, ""
 
     def flush():
-        schema = ", ".join(["__seq long", "payload binary", *(f"`{c}` {k}" for c, k in kinds.items())])
-        parts.append(spark.createDataFrame(rows, schema))
+        nonlocal size, written
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(staged)
         rows.clear()
+        size, written = 0, True
 
     for item in items:
         data, metadata = _row(item)
         own = {k: kind_of(metadata[k]) for k in sorted(metadata)}
-        kinds = own if kinds is None else kinds
+        if kinds is None:
+            kinds = own
+            schema = ", ".join(["__seq long", "payload binary", *(f"`{c}` {k}" for c, k in kinds.items())])
+            check_schema(T.StructType([T.StructField("payload", T.BinaryType()), *(T.StructField(c, T._parse_datatype_string(k)) for c, k in kinds.items())]))
         if own != kinds:
             raise InvalidInput(f"metadata of sample {seq} does not match the schema of the first sample")
         rows.append((seq, bytearray(data), *(float(metadata[c]) if k == "double" else metadata[c] for c, k in kinds.items())))
-        seq += 1
-        if len(rows) >= _CHUNK:
+        seq, size = seq + 1, size + len(data)
+        if len(rows) >= _CHUNK * prefetch or size >= _CHUNK_BYTES:
             flush()
+    if not written:
+        return spark.createDataFrame(rows, schema) if rows else None
     if rows:
         flush()
-    if not parts:
-        return None
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    check_schema(out.drop("__seq").schema)
-    return out
+    return spark.read.schema(schema).parquet(staged)
 
 
-def source_frame(spark: SparkSession, source) -> tuple[DataFrame | None, list[str]]:
+def source_frame(spark: SparkSession, source, staged: str, prefetch: int = 64) -> tuple[DataFrame | None, list[str]]:
     """The rows of a source, and the columns that order them."""
     if isinstance(source, FrameSource):
         names = check_schema(source.frame.schema)
@@ -112,4 +114,4 @@ def source_frame(spark: SparkSession, source) -> tuple[DataFrame | None, list[st
         if bad := [c for c in ["payload", *names] if nulls[c]]:
             raise InvalidInput(f"source column '{bad[0]}' contains null")
         return source.frame, list(source.order_by) or names
-    return frame_of(spark, source), ["__seq"]
+    return frame_of(spark, source, staged, prefetch), ["__seq"]

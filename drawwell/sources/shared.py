@@ -55,5 +55,11 @@ class Store:
             stream.close()
 
     def lengths(self, path: str) -> dict[str, int]:
-        """Parquet files in a folder with their lengths."""
-        return {s.getPath().getName(): s.getLen() for s in self.fs.listStatus(self.path(path)) if s.getPath().getName().endswith(".parquet")}
+        """Parquet files below a folder, by their paths in it, with their lengths."""
+        out, top = {}, self.fs.makeQualified(self.path(path)).toString().rstrip("/") + "/"
+        files = self.fs.listFiles(self.path(path), True)
+        while files.hasNext():
+            s = files.next()
+            if (name := s.getPath().toString()).endswith(".parquet"):
+                out[name.removeprefix(top)] = s.getLen()
+        return out

@@ -3,21 +3,36 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
-from typing import NamedTuple
+from dataclasses import dataclass, fields
+from typing import TYPE_CHECKING, NamedTuple
+
+if TYPE_CHECKING:
+    from drawwell.runtime import CachedDataset
 
 
 class InvalidInput(ValueError):
     """An input, a configuration or a cache that can't be used."""
 
 
+class Strict:
+    """A base of configurations: an option that doesn't exist is an invalid input."""
+
+    def __new__(cls, *args, **options):
+        if unknown := sorted(set(options) - {f.name for f in fields(cls)}):
+            raise InvalidInput(f"{cls.__name__} has no option '{unknown[0]}'")
+        return super().__new__(cls)
+
+
 def _positive(name: str, value: int) -> None:
     if not isinstance(value, int) or isinstance(value, bool) or value <= 0:
         raise InvalidInput(f"{name} must be greater than zero")
 
 
 @dataclass(frozen=True)
-class ShardCompression:
+class ShardCompression(Strict):
+    """lz4 or none. ratio says how much smaller the payloads are expected to get; shards are packed by it, so that their
+    files come near the limit."""
+
     algorithm: str = "none"
     ratio: float = 1.0
 
@@ -33,13 +48,26 @@ class ShardCompression:
 
 
 @dataclass(frozen=True)
-class WriterConfig:
+class WriterProfilerConfig(Strict):
+    """Where the report of a write goes: calls, time and bytes by source and stage, as JSON."""
+
+    path: str
+
+    def __post_init__(self):
+        if not isinstance(self.path, str) or not self.path:
+            raise InvalidInput("the profiler needs a path")
+
+
+@dataclass(frozen=True)
+class WriterConfig(Strict):
+    """prefetch: thousands of samples of an iterable that the driver holds at most before it writes them."""
+
     max_shard_bytes: int = 64 << 20
     prefetch: int = 64
     compression: ShardCompression = ShardCompression()
     show_progress: bool = True
     validate_cache: bool = False
-    profile_path: str | None = None
+    profiler: WriterProfilerConfig | None = None
 
     def __post_init__(self):
         _positive("max_shard_bytes", self.max_shard_bytes)
@@ -47,7 +75,9 @@ class WriterConfig:
 
 
 @dataclass(frozen=True)
-class ReaderConfig:
+class ReaderConfig(Strict):
+    """prefetch: samples that are fetched at once while a dataset is iterated, a thousand at least."""
+
     seed: int
     prefetch: int = 64
     shuffle: bool = True
@@ -68,6 +98,20 @@ class CacheWriteError(NamedTuple):
     message: str
 
 
+class CacheSourcesDatasetSuccess(NamedTuple):
+    """A dataset of the sources that have a cache, and how it went with each."""
+
+    dataset: CachedDataset
+    results: list[CacheWriteSuccess | CacheWriteError]
+
+
+class CacheSourcesDatasetError(NamedTuple):
+    """No source has a cache: how it went with each, and why in one line."""
+
+    results: list[CacheWriteSuccess | CacheWriteError]
+    message: str
+
+
 class CachedSample(NamedTuple):
     data: bytes
     metadata: dict
