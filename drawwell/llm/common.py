@@ -67,6 +67,19 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than one in HOT_SHARE of the rows is hot, so there are fewer than HOT_SHARE hot keys.
+HOT_SHARE = 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -> DataFrame:
+    """The inner join of left and right on their column key, which is distinct in right and never null. The column rows of
+    right says how many of left's rows (total in all) have the key. What right has for hot keys, fewer than HOT_SHARE
+    rows, is broadcast, so left's rows with such a key stay where they are; all others are shuffled."""
+    is_hot = F.col(rows) * HOT_SHARE > total
+    hot, rest = F.broadcast(right.where(is_hot).drop(rows)), right.where(~is_hot).drop(rows)
+    return left.join(hot, key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

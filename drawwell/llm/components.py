@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drawwell.llm.common import stored
+from drawwell.llm.common import hot_join, stored
 
 MAX_ROUNDS = 60
 
@@ -27,11 +27,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not state[0]:
             break
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        # centres of large stars have a large share of the edges, so what they are told is broadcast
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count("*").alias("rows"))
+        large = hot_join(both.where("b > a"), low, "a", "rows", 2 * state[0]).select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = stored(large.where("a <> b").distinct(), "components")
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("rows"))
+        small = hot_join(large, low, "a", "rows", large.count()).select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b"))
         pairs = stored(small.where("a <> b").distinct(), "components")
         before, state = state, _state(pairs)
         if before == state:

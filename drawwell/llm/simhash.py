@@ -7,7 +7,8 @@ brought together on an equal segment and a next segment with one bit masked out;
 is checked before the whole distance. Exact copies are one fingerprint from the start.
 
 A group of fingerprints yields a spanning forest of its links, never all its pairs. A group beyond GROUP_ROWS is cut
-into blocks and each pair of blocks is compared in a task of its own, so no task holds more than two blocks.
+into blocks and each pair of blocks is compared in a task of its own, so no task holds more than two blocks. Rows whose
+fingerprint, component or centre holds one in a thousand of all rows are not shuffled by it (hot_join).
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; a null doc_id never names a
 component unless all its ids are null; repeated rows stay separate rows of one class; other columns play no part.
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drawwell.llm.common import stored, table, unused
+from drawwell.llm.common import hot_join, stored, table, unused
 from drawwell.llm.components import connected_components
 
 SHINGLE = 4
@@ -175,13 +176,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, tie (a hash of the text), fp, component_id and root (the same for all rows of a component, and for them
     alone) for every row of docs (doc_id, text)."""
     marked = stored(docs.select("doc_id", F.xxhash64("text").alias("tie"), simhash("text").alias("fp")), "simhash")
-    fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fps")
+    fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "simhash-fps")
     roots = stored(connected_components(fingerprint_links(fps.select("fp"))), "simhash-roots")
-    named = fps.join(roots, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("least").alias("component"))
-    linked = roots.join(named, "root").select("node", "root", "component")
+    named = fps.join(roots, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("rows"))
+    linked = hot_join(roots, named, "root", "rows", roots.count()).select("node", "root", "component")
     classes = fps.join(linked, F.col("fp") == F.col("node"), "left")
-    classes = classes.select(F.col("fp").alias("own"), F.coalesce("component", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return marked.join(classes, F.col("fp") == F.col("own")).select("doc_id", "tie", "fp", "component_id", "root")
+    classes = classes.select("fp", "rows", F.coalesce("component", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    classes = stored(classes, "simhash-classes")
+    return hot_join(marked, classes, "fp", "rows", marked.count()).select("doc_id", "tie", "fp", "component_id", "root")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -193,8 +195,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     names = F.col("doc_id").alias(own), F.col("tie").alias(tie)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
     best = found.groupBy("root").agg(F.min(rank).alias("best"), F.count("*").alias("rows")).where("rows > 1")
-    best = best.select(F.col("root").alias("own"), F.col("best.doc_id").alias("best_id"), F.col("best.tie").alias("best_tie"))
-    beaten = found.join(best, F.col("root") == F.col("own")).where(~(same("doc_id", "best_id") & same("tie", "best_tie")))
+    best = best.select("root", "rows", F.col("best.doc_id").alias("best_id"), F.col("best.tie").alias("best_tie"))
+    beaten = hot_join(found, best, "root", "rows", found.count()).where(~(same("doc_id", "best_id") & same("tie", "best_tie")))
     beaten = stored(beaten.select(*names).distinct(), "simhash-beaten")
     text_hash = F.xxhash64("text")
     again = F.col("doc_id").eqNullSafe(F.col(own)) & (text_hash == F.col(tie))

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 import zlib
 
-from drawwell.llm import decontaminate, language_id, lm_score, lm_tables, mixing, quality_rules, secret_scan, simhash, suffix_dedup, token_count, toxicity
+from drawwell.llm import common, components, decontaminate, language_id, lm_score, lm_tables, mixing, quality_rules, secret_scan, simhash, suffix_dedup, token_count, toxicity
 
 SPACE = r"[^\x20\x09-\x0D]+"
 TOKEN = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256","typ":"JWT"}', b'{"sub":"someone"}', bytes(range(32))))
@@ -180,6 +180,26 @@ def test_simhash_blocks(spark):
     assert groups[0] == groups[1]
 
 
+@pytest.mark.parametrize("share", [1, 3, 1000])
+def test_hot_keys(spark, monkeypatch, share):
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    rng = random.Random(2)
+    left = [(7 if rng.random() < 0.4 else rng.randrange(500), i) for i in range(3000)]
+    n = Counter(k for k, _ in left)
+    right = [(k, n[k], f"r{k}") for k in range(0, 510, 3)] + [(7, n[7], "r7")]
+    frames = spark.createDataFrame(left, "k long, i long"), spark.createDataFrame(right, "k long, rows long, name string")
+    found = common.hot_join(*frames, "k", "rows", len(left))
+    assert found.columns == ["k", "i", "name"]
+    assert sorted(map(tuple, found.collect())) == sorted((k, i, f"r{k}") for k, i in left if k % 3 == 0 or k == 7)
+
+    edges = [(0, i) for i in range(1, 60)] + [(i, 2 * i) for i in range(60, 200)] + [(500, 501)]
+    group = {x: x for e in edges for x in e}
+    for _ in range(10):
+        for a, b in edges:
+            group[a] = group[b] = min(group[a], group[b])
+    assert {tuple(r) for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()} == set(group.items())
+
+
 def test_mixing(docs, rows, empty):
     mix = mixing.mix_sources(docs, block_words=8)
     got = mix.documents.toPandas()
