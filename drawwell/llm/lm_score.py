@@ -9,8 +9,8 @@ Training counts all tokens of all training texts. Probabilities are interpolated
 of the state leave over, so every state's distribution sums to one. The root is the add-0.5 unigram distribution over
 the V training words and one class of unknown words.
 
-The query scores by lm_tables, which holds the same model without bounds and keeps n-grams seen once. The automaton here
-is its form in one process.
+The query scores by lm_tables, which walks the same automaton without bounds, built for a chunk of texts at a time, and
+keeps n-grams seen once. The automaton here is its form in one process.
 
 The automaton is broadcast, so its size has a bound: the most frequent words get a number (at most max_words), and the
 most frequent n-grams of these an arc (at most max_arcs an order); ties at a bound stay out together. No token is left

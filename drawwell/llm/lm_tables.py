@@ -5,12 +5,14 @@ Order 3. The arcs of a state are the table rows that share its context, its fail
 
     p3 = (c3 - D) / n(ab) + fail(ab) * p2,    p2 = (c2 - D) / n(b) + fail(b) * p1,    p1 = (c1 + 0.5) / (n + 0.5 (V + 1))
 
-where a context that training didn't see passes to the next shorter one at weight 1. All n-grams of the training texts
+where a context that training didn't see is no state: the walk is in the longest one that it did see. An arc weighs p3 or
+p2 of its word, the root's p1, a failure arc fail(ab) or fail(b), the rest of a probability for words without an arc. All n-grams of the training texts
 have their exact counts in this, those seen once too; none is left out for its rank, its words or its context.
 
 No process holds the model. The texts are cut into chunks. A chunk sends each shard the n-grams of its texts with their
 counts in training (0 where it only asks), the shard adds up all chunks' counts and answers each chunk in the order of
-its keys; single words go through shards of their own. A chunk then scores its texts from the answers.
+its keys; single words go through shards of their own. From the answers a chunk builds the part of the automaton that its
+texts can reach, and scores them in one traversal from left to right that carries the state from token to token.
 
 Words are 64-bit hashes, and so are n-grams within a shard. Chunks are cut from the partitions of the input, so reading
 it again must give the same rows in the same order, as files do; a chunk whose keys differ from those it sent raises.
@@ -40,6 +42,8 @@ BOOK_BYTES = 1 << 22
 #: The n-grams of one first word are spread over so many shards at most.
 SPREAD = 16
 _BLOCK = 1 << 20
+#: Tokens whose arcs are listed at a time in a traversal.
+_WALK = 1 << 16
 _MASK = (1 << 64) - 1
 _ODD = 0x9E3779B97F4A7C15
 _STEP = 0xD6E8FEB86659FD93
@@ -333,29 +337,89 @@ def _answers(blobs: list[bytes], n: int, check: np.ndarray) -> list[np.ndarray]:
     return [np.concatenate([np.empty(0, np.int64), *(t[i] for t in told)]).astype(np.float64) for i in range(n)]
 
 
+def _weight(value: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """log10 of value where there is such an arc, NaN elsewhere."""
+    return np.log10(value, out=np.full(len(value), np.nan), where=has)
+
+
+class Automaton:
+    """What of the model the texts of a chunk can reach. A state is the longest context that training saw, so its length
+    (0 is the root) and the place in the text name it. Arcs and failure arcs are numbered by the n-grams of the chunk and
+    weigh log10 of a probability; NaN stands for no arc.
+
+    two[p], three[g]: arcs of the state before the last token of bigram p, trigram g; both lead to the state of the last
+    two tokens. fail_one[w], fail_two[p]: failure arcs of the states of word w and bigram p to the context without its
+    first token."""
+
+    def __init__(self, tokens: Tokens, grams: Grams, words: Words, grams_told: list[bytes], words_told: list[bytes], n: int, v: int, n_texts: int):
+        self.tokens, self.grams, self.words = tokens, grams, words
+        n2, d2, n3 = _answers(grams_told, 3, checksum(grams.a, grams.b, grams.c))
+        self.n1, d1 = _answers(words_told, 2, checksum(words.keys))
+        self.count = np.full(len(tokens.h), float(n_texts))
+        self.count[grams.at] = self.n1[words.word]
+        one = (self.count + 0.5) / (n + 0.5 * (v + 1))
+        self.root = np.log10(one)
+        left1, left2 = (DISCOUNT * d / np.maximum(c, 1) for d, c in ((d1, self.n1), (d2, n2)))
+        entry = np.empty(len(n2), np.int64)
+        entry[grams.pair] = np.arange(len(grams.at))  # some place of each bigram
+        word = words.word[entry]
+        two = (n2 - DISCOUNT) / np.maximum(self.n1[word], 1) + left1[word] * one[grams.at[entry] + 1]
+        entry = np.empty(len(n3), np.int64)
+        entry[grams.gram] = np.arange(len(grams.at))
+        after = np.minimum(entry + 1, max(len(grams.at) - 1, 0))
+        pair = grams.pair[entry]
+        three = (n3 - DISCOUNT) / np.maximum(n2[pair], 1) + left2[pair] * two[grams.pair[after]]
+        # a trigram that ends with its text has no last token
+        self.two, self.three = _weight(two, n2 > 0), _weight(three, (n3 > 0) & (grams.at[after] == grams.at[entry] + 1))
+        self.fail_one, self.fail_two = _weight(left1, self.n1 > 0), _weight(left2, n2 > 0)
+
+    def _arcs(self):
+        """Lists of what each token may meet, a bounded number of tokens at a time: the root's arc and how long the context
+        is to which it leads, arc and failure arc of the context of one token, those of two, and whether its text ends."""
+        at, pair, gram, word = self.grams.at, self.grams.pair, self.grams.gram, self.words.word
+        for low in range(0, len(self.root), _WALK):
+            high = min(low + _WALK, len(self.root))
+            two, fail_one, three, fail_two = np.full((4, high - low), np.nan)
+            known = np.zeros(high - low, np.int64)
+            i, j = np.searchsorted(at, (low, high))
+            known[at[i:j] - low] = self.n1[word[i:j]] > 0
+            i, j = np.searchsorted(at, (low - 1, high - 1))
+            ends = at[i:j] + 1 - low
+            two[ends], fail_one[ends] = self.two[pair[i:j]], self.fail_one[word[i:j]]
+            e = np.arange(max(i, 1), j)
+            e = e[at[e] == at[e - 1] + 1]
+            three[at[e] + 1 - low], fail_two[at[e] + 1 - low] = self.three[gram[e - 1]], self.fail_two[pair[e - 1]]
+            yield [x.tolist() for x in (self.root[low:high], known, two, fail_one, three, fail_two, self.tokens.is_end[low:high])]
+
+    def walk(self) -> np.ndarray:
+        """log10 of the probability of each text, in one traversal from left to right."""
+        out, state, total = [], 0, 0.0
+        for arcs in self._arcs():
+            for root, known, two, fail_one, three, fail_two, end in zip(*arcs, strict=True):
+                while state:
+                    arc, fail = (three, fail_two) if state == 2 else (two, fail_one)
+                    if arc == arc:
+                        total += arc
+                        state = 2
+                        break
+                    total += fail
+                    state -= 1
+                else:
+                    total += root
+                    state = known
+                if end:
+                    out.append(total)
+                    state, total = 0, 0.0
+        return np.array(out)
+
+
 def score_chunk(texts: pa.Array, grams_told: list[bytes], words_told: list[bytes], shards: tuple[int, int], n: int, v: int, n_texts: int):
     """Arrays of tokens, known tokens, unigram score and score of each text of a chunk."""
     tokens = Tokens(texts)
     grams = Grams(tokens, shards[0])
-    words = Words(tokens.h[grams.at], shards[1])
-    n2, d2, n3 = _answers(grams_told, 3, checksum(grams.a, grams.b, grams.c))
-    n1, d1 = _answers(words_told, 2, checksum(words.keys))
-    n2, d2, n3, n1, d1 = n2[grams.pair], d2[grams.pair], n3[grams.gram], n1[words.word], d1[words.word]
-    count = np.full(len(tokens.h), float(n_texts))
-    count[grams.at] = n1
-    one = (count + 0.5) / (n + 0.5 * (v + 1))
-    some = np.maximum(n1, 1)
-    lower = one[grams.at + 1]
-    p = np.where(n1 > 0, (np.maximum(n2 - DISCOUNT, 0) + DISCOUNT * d1 * lower) / some, lower)
-    if len(p):
-        longer = np.zeros(len(p), bool)  # the token before the entry is in the same text, and the two are a known state
-        longer[1:] = (np.diff(grams.at) == 1) & (n2[:-1] > 0)
-        k = np.flatnonzero(longer)
-        p[k] = (np.maximum(n3[k - 1] - DISCOUNT, 0) + DISCOUNT * d2[k - 1] * p[k]) / n2[k - 1]
-    whole = one.copy()
-    whole[grams.at + 1] = p
+    automaton = Automaton(tokens, grams, Words(tokens.h[grams.at], shards[1]), grams_told, words_told, n, v, n_texts)
     starts = np.cumsum(tokens.sizes) - tokens.sizes
-    return tokens.sizes, np.add.reduceat((count > 0).astype(np.int64), starts), np.add.reduceat(np.log10(one), starts), np.add.reduceat(np.log10(whole), starts)
+    return tokens.sizes, np.add.reduceat((automaton.count > 0).astype(np.int64), starts), np.add.reduceat(automaton.root, starts), automaton.walk()
 
 
 def score_all(docs: DataFrame) -> tuple[DataFrame, int, int]:
